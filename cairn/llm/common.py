@@ -61,12 +61,13 @@ def nullable_key(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(name).cast("string")))
 
 
-def before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str, total: str | None = None) -> DataFrame:
+def before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str, total: str | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``keys`` that come earlier by ``bucket`` and ``order``.
 
     Two levels: a window inside each (keys, bucket), and a window over the buckets' sums. No task gets more than
     one bucket of a key, so a key that holds a third of all rows does no harm. ``keys`` must not be null.
-    With ``total``, that column gets the sum over all rows of the keys. Sums are longs.
+    With ``total``, that column gets the sum over all rows of the keys. ``extra`` has a row for each of the keys, whose
+    columns are added: it meets the buckets' sums, not the rows. Sums are longs.
     """
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*keys).orderBy(bucket)
@@ -77,6 +78,8 @@ def before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value:
         .withColumn("__all", F.sum("__sum").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .drop("__sum")
     )
+    if extra is not None:
+        sums = sums.join(extra, keys)
     local = df.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = local.join(sums, [*keys, bucket]).withColumn(out, F.col("__in") + F.col("__base"))
     if total:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, shards
+from . import exact, mixing, packing, shards
 
 
 def queries() -> dict:
     return {
+        "op4_mixing": mixing.op4_mixing,
+        "op5_packing": packing.op5_packing,
         "op7_exact": exact.op7_exact,
         "op8_shards": shards.op8_shards,
     }
