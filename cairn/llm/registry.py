@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, shards, simhash
+from . import exact, mixing, packing, repeats, shards, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op7_exact": exact.op7_exact,
         "op8_shards": shards.op8_shards,
+        "op9_repeats": repeats.op9_repeats,
         "op10_simhash": simhash.op10_simhash,
     }
 
