@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, repeats, shards, simhash
+from . import exact, language, media, mixing, packing, repeats, shards, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_media": media.op3_media,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
+        "op6_language": language.op6_language,
         "op7_exact": exact.op7_exact,
         "op8_shards": shards.op8_shards,
         "op9_repeats": repeats.op9_repeats,
