@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from . import common as C
 BLOCK_WORDS, SHARD_SLOTS, ROUNDS = 64, 4096, 24
 #: Weights by the place of a source in code point order, repeating; the share of all words that the mix takes; the most epochs of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-CHUNK = 4096
+#: Slots or blocks made from one row at a time; such rows in a task.
+CHUNK, CHUNKS_IN_TASK = 4096, 64
 
 
 @dataclass
@@ -98,7 +100,10 @@ def mix(df: DataFrame, seed: int = 11, weights=WEIGHTS, share: float = SHARE, mo
     filled = filled.withColumn("__total", F.sum("__slots").over(Window.partitionBy())).filter("__slots > 0")
     chunks = filled.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__slots") - 1) / CHUNK).cast("long"))).alias("__chunk"))
     chunks = chunks.withColumn("__all_seeds", seeds_of(seed, F.lit("slots"))).withColumn("__seeds", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: seeds_of(seed, F.col("__key"), e)))
-    index = chunks.repartition("__key", "__chunk").select("*", F.explode(F.sequence(F.col("__chunk") * CHUNK, F.least(F.col("__chunk") * CHUNK + (CHUNK - 1), F.col("__slots") - 1))).alias("__i"))
+    # a chunk is a small row that becomes many: a fixed number of tasks, as small partitions would be put together
+    count = sources.agg(F.sum("target")).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / block / CHUNK / CHUNKS_IN_TASK))
+    index = chunks.repartition(tasks, "__key", "__chunk").select("*", F.explode(F.sequence(F.col("__chunk") * CHUNK, F.least(F.col("__chunk") * CHUNK + (CHUNK - 1), F.col("__slots") - 1))).alias("__i"))
     epoch = F.floor(F.col("__i") / F.col("__blocks")).cast("int")
     place = permuted(F.col("__first") + F.col("__i"), F.col("__total"), F.col("__all_seeds"))
     slots = index.withColumn("epoch", epoch).select(
