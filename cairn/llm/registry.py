@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, language, media, mixing, packing, repeats, shards, simhash
+from . import exact, language, media, mixing, packing, repeats, secrets, shards, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op3_media": media.op3_media,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
