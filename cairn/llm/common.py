@@ -41,6 +41,20 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of a row's id and text, never null: rows that agree in both are copies of the same row."""
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, id_col).alias("k2")]
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df``, all columns, whose keys are in ``kept`` (k1, k2, each pair once): of rows that repeat, one."""
+    k1, k2 = row_keys(id_col, text_col)
+    keyed = df.withColumn("__k1", k1).withColumn("__k2", k2)
+    met = keyed.join(kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["__k1", "__k2"])
+    same = Window.partitionBy("__k1", "__k2").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))
+    return met.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(*df.columns)
+
+
 def bucket_count(rows: int) -> int:
     """Buckets so that both their number and their size grow with the square root of the rows."""
     return max(1, int(math.sqrt(rows) / 4))

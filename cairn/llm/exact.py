@@ -19,8 +19,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        df.select(F.col(id_col).alias("__id"), F.length(text).cast("long").alias("__chars"), F.regexp_replace(text, C.SPACE, "").alias("__norm"))
-        .select("__id", "__chars", F.sha2(F.col("__norm"), 256).alias("__digest"), F.xxhash64("__norm").alias("__check"), F.octet_length("__norm").alias("__bytes"))
+        df.select(F.col(id_col).alias("__id"), *C.row_keys(id_col, text_col), F.length(text).cast("long").alias("__chars"), F.regexp_replace(text, C.SPACE, "").alias("__norm"))
+        .select("__id", "k1", "k2", "__chars", F.sha2(F.col("__norm"), 256).alias("__digest"), F.xxhash64("__norm").alias("__check"), F.octet_length("__norm").alias("__bytes"))
         .withColumn("__run", F.spark_partition_id())
         .withColumn("__row", F.monotonically_increasing_id())
     )
@@ -44,6 +44,18 @@ def tree_merge(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     return runs.select(*key, "__best", "__rows")
 
 
+def grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The digests with ``__keep`` and ``__size`` of their group, and ``kept``."""
+    key = ["__digest", "__check", "__bytes"]
+    rows = C.cut(digests(df, id_col, text_col))
+    best = F.struct((-F.col("__chars")).alias("less"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    runs = C.cut(rows.groupBy("__run", *key).agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("__rows")))
+    found = tree_merge(runs).select(*key, F.col("__best").alias("__keep"), F.col("__rows").alias("__size"))
+    # back down the same way: first to each run's row of a digest, then to the rows of that run
+    at_runs = runs.select("__run", *key).join(found, key)
+    return rows.join(at_runs, ["__run", *key]).withColumn("kept", F.col("__row") == F.col("__keep.row"))
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Finds texts that are equal without their ASCII white space.
 
@@ -52,23 +64,20 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text counts as empty, and empty texts are equal. Of rows that repeat with the same id and text exactly one
     is kept. An empty table gives no rows. Other columns of ``df`` are not read.
     """
-    key = ["__digest", "__check", "__bytes"]
-    rows = C.cut(digests(df, id_col, text_col))
-    best = F.struct((-F.col("__chars")).alias("less"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-    runs = C.cut(rows.groupBy("__run", *key).agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("__rows")))
-    found = tree_merge(runs).select(*key, F.col("__best").alias("__keep"), F.col("__rows").alias("__size"))
-    # back down the same way: first to each run's row of a digest, then to the rows of that run
-    at_runs = runs.select("__run", *key).join(found, key)
-    down = rows.join(at_runs, ["__run", *key])
-    return down.select(
+    return grouped(df, id_col, text_col).select(
         F.col("__id").alias(id_col),
         F.col("__keep.id").alias("keep_id"),
         F.col("__size").alias("group_size"),
-        (F.col("__row") == F.col("__keep.row")).alias("kept"),
+        "kept",
         F.col("__digest").alias("text_sha256"),
     )
 
 
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that stay by ``exact_groups``."""
+    return C.keep_rows(df, grouped(df, id_col, text_col).filter("kept").select("k1", "k2"), id_col, text_col)
+
+
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of its group that stays."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, language, media, mixing, packing, repeats, secrets, shards, simhash
+from . import exact, language, media, mixing, packing, repeats, secrets, shards, simhash, toolcalls
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_toolcalls": toolcalls.op2_toolcalls,
         "op3_media": media.op3_media,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,

@@ -74,15 +74,15 @@ def fingerprints_of(texts: list[str | None], words: int = SHINGLE) -> np.ndarray
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; ``fp`` is the fingerprint as a signed long. Null and wordless texts have 0."""
+    """(id, k1, k2, fp) of every row; ``fp`` is the fingerprint as a signed long. Null and wordless texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints_of(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = fingerprints_of(batch.column(3).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], ["id", "k1", "k2", "fp"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return df.select(F.col(id_col).alias("id"), *C.row_keys(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, k1 long, k2 int, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,6 +218,16 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select(F.col("label").alias("node"), "label").distinct())
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """(fp, least): of each distinct fingerprint of ``rows`` the least row of its component, as (none, id, k1, k2)."""
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
+    distinct = C.cut(rows.groupBy("fp").agg(F.min(row).alias("first")))
+    labels = components(links(distinct.select("fp")))
+    of = C.cut(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
+    least = of.groupBy("label").agg(F.min("first").alias("least"))
+    return of.join(least, "label").select("fp", "least")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) of every row: rows whose fingerprints a chain of links joins have the same component_id,
     the smallest id among them.
@@ -227,13 +237,13 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     is no other. Rows that repeat stay. An empty table gives no rows. Other columns of ``df`` are not read.
     """
     rows = C.cut(fingerprints(df, id_col, text_col, words))
-    distinct = C.cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    labels = components(links(distinct.select("fp")))
-    of = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    of = C.cut(of)
-    least = of.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = of.join(least, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(grouped(rows), "fp").select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+    """The rows of ``df``, all columns, without near duplicates: of each component the row with the smallest id stays."""
+    rows = C.cut(fingerprints(df, id_col, text_col, words))
+    return C.keep_rows(df, grouped(rows).select("least.k1", "least.k2").distinct(), id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
