@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,41 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BITS, SEGMENTS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 3, 42
-SEGMENT_BITS = BITS // SEGMENTS
-#: Shingle hashes turned into bit counts at a time.
-HASHES = 1 << 16
-#: Fingerprints under one key that are compared each with each; larger groups are split by bytes first.
+SEED, BITS = 42, 64
+#: Shingle hashes turned into bit counts at a time; fingerprints whose variants are made at a time; rows of variants in a task.
+HASHES, FINGERPRINTS, VARIANTS = 1 << 16, 1 << 10, 1 << 21
+#: Fingerprints under one key that are compared each with each; larger groups are split by bytes first, where that is exact.
 PAIRWISE = 2048
-ONES = np.uint64(0x0101010101010101)
+#: Groups up to this size give all their links, larger ones a forest.
+ALL_LINKS = 16
+ONES, GOLD = np.uint64(0x0101010101010101), 0x9E3779B97F4A7C15
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Shingles of ``words`` words, fingerprints of 64 ``lanes`` bits, links at ``distance`` bits or less, found in ``segments``.
+
+    While distance < 2 segments, two linked fingerprints have a segment that differs in one bit at most, and every link is found. Beyond that the
+    segments find most (see the README). ``similarity``: links must also have that Jaccard similarity of their shingle sets, computed exactly.
+    """
+
+    words: int = 3
+    lanes: int = 1
+    distance: int = 3
+    segments: int = 2
+    similarity: float | None = None
+
+    @property
+    def width(self) -> int:
+        return min(32, BITS * self.lanes // self.segments)
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{k}" for k in range(self.lanes)]
+
+
+#: The contract's fingerprints, and those for documents that share 0.8 of their shingles of five words.
+SHORT, WIDE = Scheme(), Scheme(words=5, lanes=4, distance=44, segments=12, similarity=0.8)
 
 
 def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -33,11 +62,36 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fingerprints_of(texts: list[str | None], words: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text as uint64: the bits set in more than half of its shingles' XXH64."""
+def lanes_of(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves, or mixed anew for further lanes."""
+    if not lane:
+        return hashes
+    h = hashes + np.uint64(lane * GOLD & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: str | None, words: int) -> list[int]:
+    """XXH64 of each run of ``words`` words, in order; of the whole sequence if there are fewer; none without words."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(texts), dtype=np.uint64)
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return []
+    line = b" ".join(parts)
+    if len(parts) <= words:
+        return [xxh64_intdigest(line, SEED)]
+    edges, place = [0], 0
+    for part in parts:
+        place += len(part) + 1
+        edges.append(place)
+    return [xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(edges, edges[words:], strict=False)]
+
+
+def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of each text, (texts, lanes) of uint64: the bits set in more than half of its shingles' hashes."""
+    out = np.zeros((len(texts), lanes), dtype=np.uint64)
     shift = np.arange(BITS, dtype=np.uint64)
     hashes: list[int] = []
     starts: list[int] = []
@@ -47,87 +101,74 @@ def fingerprints_of(texts: list[str | None], words: int = SHINGLE) -> np.ndarray
         if owners:
             own = np.array(hashes, dtype=np.uint64)
             size = np.diff(np.append(starts, len(own)))
-            ones = 2 * bit_counts(own, np.array(starts)) > size[:, None]
-            out[owners] = (ones.astype(np.uint64) << shift).sum(axis=1, dtype=np.uint64)
+            for lane in range(lanes):
+                ones = 2 * bit_counts(lanes_of(own, lane), np.array(starts)) > size[:, None]
+                out[owners, lane] = (ones.astype(np.uint64) << shift).sum(axis=1, dtype=np.uint64)
         hashes.clear(), starts.clear(), owners.clear()
 
     for at, text in enumerate(texts):
-        parts = (text or "").encode().lower().split()
-        if not parts:
-            continue
-        line = b" ".join(parts)
-        edges = [0]
-        place = 0
-        for part in parts:
-            place += len(part) + 1
-            edges.append(place)
-        starts.append(len(hashes))
-        owners.append(at)
-        if len(parts) <= words:
-            hashes.append(xxh64_intdigest(line, SEED))
-        else:
-            hashes += [xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(edges, edges[words:], strict=False)]
-        if len(hashes) >= HASHES:
-            flush()
+        if own := shingles(text, words):
+            starts.append(len(hashes))
+            owners.append(at)
+            hashes += own
+            if len(hashes) >= HASHES:
+                flush()
     flush()
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, k1, k2, fp) of every row; ``fp`` is the fingerprint as a signed long. Null and wordless texts have 0."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHORT) -> DataFrame:
+    """(id, k1, k2, node, f0 ...) of every row: its fingerprint as signed longs, and a number for it. Null and wordless texts have 0."""
+    names, words, lanes = scheme.columns, scheme.words, scheme.lanes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints_of(batch.column(3).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], ["id", "k1", "k2", "fp"])
+            fps = fingerprints_of(batch.column(3).to_pylist(), words, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes)]], ["id", "k1", "k2", *names])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), *C.row_keys(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, k1 long, k2 int, fp long")
+    rows = df.select(F.col(id_col).alias("id"), *C.row_keys(id_col, text_col), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(run, f"id {kind}, k1 long, k2 int, " + ", ".join(f"{c} long" for c in names))
+    return rows.withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*names))
 
 
-def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+def near(many: np.ndarray, one: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(axis=-1) <= distance
 
 
-def trees(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join those of ``fps`` (distinct, sharing a key) that a chain of links inside the group joins.
+def trees(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links (as row numbers) that join those of ``fps`` (distinct, sharing a key) that a chain of links inside the group joins.
 
-    A small group grows trees breadth first: each fingerprint reached is compared to all that aren't yet, in one vector
-    step, so a tree of k fingerprints costs k steps and gives k - 1 links. A large group is split by each of
-    the eight bytes: as two fingerprints at distance 3 differ in three bytes at most, the others are equal, so any
+    A group grows trees breadth first: each fingerprint reached is compared to all that aren't yet, in one vector
+    step, so a tree of k fingerprints gives k - 1 links. A large group at a distance under 8 is split by each of
+    the eight bytes of its lane: two fingerprints that differ in at most ``distance`` bytes have another that is equal, so any
     two are together in some part. What the parts link is joined by the whole.
     """
-    if len(fps) <= PAIRWISE:
-        links, rest = [], fps.copy()
+    if len(fps) <= ALL_LINKS:
+        return [(i, i + 1 + int(j)) for i in range(len(fps) - 1) for j in np.flatnonzero(near(fps[i + 1 :], fps[i], distance))]
+    by_byte = fps.view(np.uint8).reshape(len(fps), -1)
+    varied = [k for k in range(by_byte.shape[1]) if (by_byte[:, k] != by_byte[0, k]).any()]
+    if len(fps) <= PAIRWISE or len(varied) <= distance:
+        links, rest = [], np.arange(len(fps))
         while len(rest):
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest = [int(rest[0])], rest[1:]
             while queue and len(rest):
                 here = queue.pop()
-                if (hit := near(rest, here)).any():
-                    found = rest[hit]
-                    links += [(int(here), int(x)) for x in found]
-                    queue += list(found)
+                hit = near(fps[rest], fps[here], distance)
+                if hit.any():
+                    found = rest[hit].tolist()
+                    links += [(here, x) for x in found]
+                    queue += found
                     rest = rest[~hit]
         return links
     links = []
-    by_byte = fps.view(np.uint8).reshape(-1, 8)
-    varied = [k for k in range(8) if (by_byte[:, k] != by_byte[0, k]).any()]
-    # at most three of the bytes that vary differ in a pair, so the first four hold an equal one
-    for k in varied[: DISTANCE + 1] if len(varied) > DISTANCE else []:
+    # at most ``distance`` of the bytes that vary differ in a pair, so the first distance + 1 hold an equal one
+    for k in varied[: distance + 1]:
         order = np.argsort(by_byte[:, k], kind="stable")
         cuts = np.flatnonzero(np.diff(by_byte[order, k])) + 1
-        for part in np.split(fps[order], cuts):
+        for part in np.split(order, cuts):
             if len(part) > 1:
-                links += trees(part)
-    if len(varied) <= DISTANCE:  # up to 2^24 values that differ in so few bits: each finds its neighbours by flipping bits
-        known = np.sort(fps)
-        flips = [np.uint64(1) << np.uint64(8 * k + b) for k in varied for b in range(8)]
-        masks = [a | b | c for i, a in enumerate(flips) for j, b in enumerate(flips[i:], i) for c in flips[j:]]
-        for mask in dict.fromkeys(masks):
-            there = known ^ mask
-            at = np.minimum(np.searchsorted(known, there), len(known) - 1)
-            hit = (known[at] == there) & (known < there)
-            links += [(int(x), int(y)) for x, y in zip(known[hit], there[hit], strict=True)]
+                links += [(int(part[a]), int(part[b])) for a, b in trees(fps[part], distance)]
     return spanning(links)
 
 
@@ -148,50 +189,58 @@ def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(fps: DataFrame) -> DataFrame:
-    """(key, fp): each fingerprint under its deletion variants. At distance 3 or less one of the two segments differs by one
-    bit at most, so the two fingerprints share that segment with that bit as the wildcard."""
-    low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-    high = F.shiftrightunsigned("fp", SEGMENT_BITS)
-    segments = F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("x")
-    rows = fps.select("fp", segments).select("fp", "x.s", "x.v", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))).alias("b"))
-    # the wildcard is set to 1; its place and the segment's are in the upper half
-    value = F.expr("v | shiftleft(1L, b)")
-    return rows.select((value + (F.col("s") * SEGMENT_BITS + F.col("b")).cast("long") * F.lit(1 << SEGMENT_BITS)).alias("key"), "fp")
-
+def signatures(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(key, node, f0 ...): each fingerprint under its deletion variants, a segment with one bit as the wildcard."""
+    lanes, segments, width, names = scheme.lanes, scheme.segments, scheme.width, scheme.columns
 
-def links(fps: DataFrame, keys_in_task: int = 1 << 21) -> DataFrame:
-    """(a, b), a < b: links between distinct fingerprints at distance 3 or less, enough of them to join all that links join.
-
-    ``fps`` has each fingerprint once. Every key's group gives a forest of its verified links, so no group emits more links than it
-    has members, and links of different groups that repeat are dropped.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.arange(width, dtype=np.uint64)
+        number = (np.arange(segments * width, dtype=np.uint64) << np.uint64(32)).reshape(segments, width)
+        for whole in batches:
+            for start in range(0, whole.num_rows, FINGERPRINTS):
+                batch = whole.slice(start, FINGERPRINTS)
+                fps = np.stack([batch.column(1 + k).to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
+                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : segments * width]
+                value = (bits.reshape(-1, segments, width).astype(np.uint64) << places).sum(axis=2, dtype=np.uint64)
+                # the wildcard is set to 1; its place and the segment's are in the upper half
+                keys = (value[:, :, None] | (np.uint64(1) << places)) + number
+                times = segments * width
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *[pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in range(1 + lanes)]], ["key", "node", *names])
+
+    return fps.select("node", *names).mapInArrow(run, "key long, node long, " + ", ".join(f"{c} long" for c in names))
+
+
+def links(fps: DataFrame, scheme: Scheme = SHORT) -> DataFrame:
+    """(a, b), a < b: nodes of linked fingerprints. Small groups under a key give all their links; a large one gives a forest of
+    them, which joins all that its links join, so no group emits more than some links per member.
+
+    ``fps`` (node, f0 ...) has each fingerprint once.
     """
+    distance = scheme.distance
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, own = [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            own.append(batch.column(1).to_numpy())
-        if not keys:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not held:
             return
-        key, fp = np.concatenate(keys), np.concatenate(own).view(np.uint64)
+        key, node, *lanes = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
+        key, node = key[order], node[order]
+        fp = np.stack([c[order] for c in lanes], axis=1).view(np.uint64)
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
-        two = two[near(fp[two], fp[two + 1])]
-        a, b = [fp[two]], [fp[two + 1]]
+        two = two[near(fp[two], fp[two + 1], distance)]
+        a, b = [node[two]], [node[two + 1]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if found := trees(fp[s : s + n]):
-                x, y = np.array(found, dtype=np.uint64).T
-                a.append(x), b.append(y)
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+            if found := trees(fp[s : s + n], distance):
+                x, y = np.array(found).T
+                a.append(node[s + x]), b.append(node[s + y])
+        a, b = np.concatenate(a), np.concatenate(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    variants = signatures(fps)
-    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * SEGMENTS * SEGMENT_BITS // keys_in_task))
-    return variants.repartition(tasks, "key").mapInArrow(probe, "a long, b long").distinct()
+    rows = fps.count() * scheme.segments * scheme.width
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // VARIANTS))
+    return signatures(fps, scheme).repartition(tasks, "key").mapInArrow(probe, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,35 +267,67 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select(F.col("label").alias("node"), "label").distinct())
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """(fp, least): of each distinct fingerprint of ``rows`` the least row of its component, as (none, id, k1, k2)."""
+def similar(edges: DataFrame, distinct: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """The links whose two texts share ``scheme.similarity`` of their shingles: the sets of the linked texts only are made and compared.
+
+    ``distinct`` (node, first.k1, first.k2) names a row of ``texts`` (k1, k2, text) for each node.
+    """
+    words = scheme.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingles(t, words), dtype=np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
+
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    asked = nodes.join(distinct.select("node", "first.k1", "first.k2"), "node")
+    # rows that repeat have the same keys and the same text
+    sets = C.stored(texts.join(asked, ["k1", "k2"]).select("node", "text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"]))
+    met = edges.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    whole = F.size("x") + F.size("y") - common
+    return met.filter((whole == 0) | (common >= scheme.similarity * whole)).select("a", "b")
+
+
+def grouped(rows: DataFrame, scheme: Scheme, texts: DataFrame | None = None) -> DataFrame:
+    """(node, least): of each distinct fingerprint of ``rows`` the least row of its component, as (none, id, k1, k2)."""
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
-    distinct = C.cut(rows.groupBy("fp").agg(F.min(row).alias("first")))
-    labels = components(links(distinct.select("fp")))
-    of = C.cut(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
+    distinct = C.cut(rows.groupBy("node", *scheme.columns).agg(F.min(row).alias("first")))
+    edges = links(distinct.select("node", *scheme.columns), scheme)
+    if scheme.similarity is not None:
+        edges = C.cut(edges)
+        C.tidy(rows.sparkSession)
+        edges = similar(edges, distinct, texts, scheme)
+    labels = components(edges)
+    of = C.cut(distinct.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
     least = of.groupBy("label").agg(F.min("first").alias("least"))
-    return of.join(least, "label").select("fp", "least")
+    return of.join(least, "label").select("node", "least")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id) of every row: rows whose fingerprints a chain of links joins have the same component_id,
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHORT) -> DataFrame:
+    """(id, f0 ..., component_id) of every row: rows whose fingerprints a chain of links joins have the same component_id,
     the smallest id among them.
 
     Equal fingerprints meet first, so copies never multiply; only distinct ones are indexed and linked. Null and
     wordless texts have fingerprint 0 and link like any other. Ids that are null are no component's smallest, unless there
     is no other. Rows that repeat stay. An empty table gives no rows. Other columns of ``df`` are not read.
     """
-    rows = C.cut(fingerprints(df, id_col, text_col, words))
-    return rows.join(grouped(rows), "fp").select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
+    rows = C.cut(fingerprints(df, id_col, text_col, scheme))
+    texts = df.select(*C.row_keys(id_col, text_col), F.col(text_col).alias("text"))
+    found = rows.join(grouped(rows, scheme, texts), "node")
+    return found.select(F.col("id").alias(id_col), *scheme.columns, F.col("least.id").alias("component_id"))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = WIDE) -> DataFrame:
     """The rows of ``df``, all columns, without near duplicates: of each component the row with the smallest id stays."""
-    rows = C.cut(fingerprints(df, id_col, text_col, words))
-    return C.keep_rows(df, grouped(rows).select("least.k1", "least.k2").distinct(), id_col, text_col)
+    rows = C.cut(fingerprints(df, id_col, text_col, scheme))
+    texts = df.select(*C.row_keys(id_col, text_col), F.col(text_col).alias("text"))
+    kept = C.cut(grouped(rows, scheme, texts).select("least.k1", "least.k2").distinct())
+    C.tidy(df.sparkSession)
+    return C.keep_rows(df, kept, id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest document that links reach from it."""
     found = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

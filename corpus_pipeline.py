@@ -18,12 +18,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates.
-
-    Shingles have five words: such a shingle's hash changes more bits for a changed word, so fingerprints
-    within three bits mean texts that agree in far more than 0.8 of their shingles.
-    """
-    return simhash.deduplicated(docs, words=5)
+    """One document of each component of documents that share 0.8 of their shingles of five words."""
+    return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
