@@ -24,9 +24,9 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 TAR_BLOCK = 512
 SHARD_BYTES = 256 << 20
-CATALOGUE = "digest string, shard string, offset long, length long, media_sha256 string"
-HEADERS = "digest string, width int, height int, bit_depth int"
-FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+CATALOGUE = "digest binary, shard string, offset long, length long, media_sha256 binary"
+HEADERS = "digest binary, width int, height int, bit_depth int"
+FEATURES = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def file_system(uri: str):
@@ -126,14 +126,14 @@ def write_shards(df: DataFrame, root: str, text_col: str = "text", shard_bytes:
                 entry.size = len(data)
                 fill = -len(data) % TAR_BLOCK
                 out.write(entry.tobuf(tarfile.USTAR_FORMAT) + data + b"\0" * fill)
-                rows.append((key.hexdigest(), shard, at + TAR_BLOCK, len(data), hashlib.sha256(data).hexdigest()))
+                rows.append((key.digest(), shard, at + TAR_BLOCK, len(data), hashlib.sha256(data).digest()))
                 at += TAR_BLOCK + len(data) + fill
                 if at >= shard_bytes:
                     out.write(b"\0" * 2 * TAR_BLOCK)
                     out.close()
                     out = None
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["digest", "shard", "offset", "length", "media_sha256"])
         if out is not None:
             out.write(b"\0" * 2 * TAR_BLOCK)
@@ -165,7 +165,9 @@ def ranges(catalogue: DataFrame, root: str, schema: str, kinds: list, read) -> D
             file.close()
 
     columns = ["shard", "digest", "offset", "length", "media_sha256"]
-    return catalogue.select(*columns).repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    # a number of its own, as few bytes here stand for many in the shards
+    tasks = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return catalogue.select(*columns).repartition(tasks, "shard").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
 
 
 def headers(catalogue: DataFrame, root: str) -> DataFrame:
@@ -175,7 +177,7 @@ def headers(catalogue: DataFrame, root: str) -> DataFrame:
         file.seek(offset)
         return (digest, *png_header(file.read(HEADER_BYTES)))
 
-    return ranges(catalogue, root, HEADERS, [pa.string(), pa.int32(), pa.int32(), pa.int32()], read)
+    return ranges(catalogue, root, HEADERS, [pa.binary(), pa.int32(), pa.int32(), pa.int32()], read)
 
 
 def features(catalogue: DataFrame, root: str) -> DataFrame:
@@ -184,15 +186,15 @@ def features(catalogue: DataFrame, root: str) -> DataFrame:
     def read(file, digest, offset, length, media_sha256):
         file.seek(offset)
         data = file.read(length)
-        found = hashlib.sha256(data).hexdigest()
+        found = hashlib.sha256(data).digest()
         samples = from_png(data)
         flat = samples.tobytes()
-        own = hashlib.sha256(flat).hexdigest()
+        own = hashlib.sha256(flat).digest()
         if found != media_sha256 or own != digest:
-            raise ValueError(f"{digest} is damaged")
+            raise ValueError(f"{digest.hex()} is damaged")
         return digest, len(flat), own, zlib.crc32(flat[-16:]), len(data), found, feature(samples)
 
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     return ranges(catalogue, root, FEATURES, kinds, read)
 
 
@@ -206,17 +208,18 @@ def with_media(df: DataFrame, root: str | None = None, id_col: str = "doc_id", t
     Returns (id, digest, n_bytes, shard, offset, width, height, bit_depth, and FEATURES).
     """
     root = root or f"{C.scratch(df.sparkSession).rstrip('/')}/media-{uuid.uuid4().hex}"
-    catalogue = C.cut(write_shards(df, root, text_col))
+    catalogue = write_shards(df, root, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text)
     padded = F.greatest(F.lit(WIDTH), F.ceil(size / WIDTH) * WIDTH)
     samples = F.concat(text.cast("binary"), F.repeat(F.lit(PAD.decode()), (padded - size).cast("int")).cast("binary"))
-    rows = df.select(F.col(id_col).alias("__id"), size.cast("long").alias("n_bytes"), F.sha2(samples, 256).alias("digest"))
-    known = catalogue.select("digest", "shard", "offset").join(headers(catalogue, root), "digest").join(C.cut(features(catalogue, root)), "digest")
+    rows = df.select(F.col(id_col).alias("__id"), size.cast("long").alias("n_bytes"), F.unhex(F.sha2(samples, 256)).alias("digest"))
+    known = catalogue.select("digest", "shard", "offset").join(headers(catalogue, root), "digest").join(features(catalogue, root), "digest")
     return rows.join(known, "digest").withColumnRenamed("__id", id_col)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's payload, as stored and read back."""
     found = with_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    said = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}
+    return found.withColumns(said).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
