@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cairn import queries_space
+
 
 def queries() -> dict:
-    return {}
+    return {**queries_space.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**queries_space.SQL}
