@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cairn import queries_space
+from cairn import queries_space, queries_time
 
 
 def queries() -> dict:
-    return {**queries_space.QUERIES}
+    return {**queries_space.QUERIES, **queries_time.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_space.SQL}
+    return {**queries_space.SQL, **queries_time.SQL}
