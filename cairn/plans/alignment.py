@@ -78,8 +78,8 @@ def align_many(scans: DataFrame, starts: DataFrame, grid: DataFrame, settings: S
         values = [key[0], key[1], found.status, found.iterations, found.score, found.score / len(own), arrays.nvtl(own, found.pose), found.pairs, found.oscillations, *found.pose, found.hessian.reshape(-1).tolist()]
         return pd.DataFrame([values], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    keys = ("scan_id", "start_id")
-    return points.groupBy(*keys).cogroup(around.groupBy(*keys)).applyInPandas(run, RESULT)
+    around = around.withColumnsRenamed({"scan_id": "of_scan", "start_id": "of_start"})
+    return points.groupBy("scan_id", "start_id").cogroup(around.groupBy("of_scan", "of_start")).applyInPandas(run, RESULT)
 
 
 def cascade(points: np.ndarray, grids: list[tuple[float, int, pd.DataFrame]], start, settings: Settings = Settings(), good: float | None = None) -> list[tuple[float, Outcome]]:
