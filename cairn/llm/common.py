@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,8 +39,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect its garbage, which lets Spark remove shuffle files of steps already cut."""
-    spark.sparkContext._jvm.System.gc()
+    """Collects the driver's garbage, which lets Spark remove the shuffle files of steps already cut, and gives it a moment to do so."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:

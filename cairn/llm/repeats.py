@@ -54,6 +54,26 @@ def spread(n: int, starts: np.ndarray, back: int, ahead: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' bytes plane by plane, so that a shuffle's compression finds the high ones, which are zero or alike."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys; those of 32 bits by their differences."""
+    return planes(np.diff(keys, prepend=keys.dtype.type(0))) if keys.itemsize == 4 else planes(keys)
+
+
+def unpacked_keys(data: bytes, kind: type) -> np.ndarray:
+    keys = from_planes(data, kind)
+    return np.cumsum(keys, dtype=kind) if np.dtype(kind).itemsize == 4 else keys
+
+
 def packer(size: int, slices: int, anchored: bool) -> Callable:
     """Hashes windows of ``size`` words and deals them, packed, to ``slices`` by hash.
 
@@ -94,7 +114,7 @@ def packer(size: int, slices: int, anchored: bool) -> Callable:
         kept = key[first].astype(np.uint32) if anchored else key[first]
         edges = np.flatnonzero(np.append(True, np.diff(slot[first]) != 0)) if len(first) else np.zeros(0, np.int64)
         ends = np.append(edges[1:], len(first)).astype(np.int64)
-        rows = [(int(slot[first[a]]), batch, kept[a:b].tobytes(), mark[a:b].tobytes(), None, None, None, None) for a, b in zip(edges, ends, strict=False)] if len(first) else []
+        rows = [(int(slot[first[a]]), batch, packed_keys(kept[a:b]), planes(mark[a:b]), None, None, None, None) for a, b in zip(edges, ends, strict=False)] if len(first) else []
         rows.append((batch % slices, batch, None, None, k1.tobytes(), k2.tobytes(), starts.tobytes(), same.tobytes()))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         names = ["slice", "batch", "keys", "places", "k1", "k2", "starts", "same"]
@@ -134,8 +154,8 @@ def matcher(anchored: bool) -> Callable:
         filled = [i for i, k in enumerate(keys) if k is not None]
         rows = [(int(batches[i]), None, *(table.column(c)[i].as_py() for c in names[2:])) for i, k in enumerate(keys) if k is None]
         if filled:
-            key = np.concatenate([np.frombuffer(keys[i], dtype=kind) for i in filled])
-            mark = np.concatenate([np.frombuffer(places[i], dtype=np.uint32) for i in filled])
+            key = np.concatenate([unpacked_keys(keys[i], kind) for i in filled])
+            mark = np.concatenate([from_planes(places[i], np.uint32) for i in filled])
             row = np.repeat(np.array(filled), [len(keys[i]) // kind().itemsize for i in filled])
             order = np.argsort(key)
             key, mark, row = key[order], mark[order], row[order]
@@ -225,6 +245,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     C.tidy(df.sparkSession)
     some = met.filter(F.col("places").isNotNull())
     windows = C.cut(locate(some.select(*KEY, "text", "places"), WINDOW, slices, False))
+    C.tidy(df.sparkSession)
     again = some.drop("places").join(windows, KEY, "left").select("id", "text", "places")
     rest = met.filter(F.col("places").isNull()).select("id", "text", "places")
     kind = df.select(id_col).schema[0].dataType.simpleString()
