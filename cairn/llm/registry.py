@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact": exact.ORACLE}
+    return {"op2_toolcalls": toolcalls.ORACLE, "op7_exact": exact.ORACLE}

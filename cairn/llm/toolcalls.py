@@ -159,3 +159,30 @@ def op2_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = calls.select("uid", "conv_id", "turn", "role").unionByName(results.select("uid", "conv_id", "turn", "role"))
     events = link_calls(calls, results, CHAT_TOOLS).join(where, "uid")
     return events.select("conv_id", "turn", "role", F.col("id").alias("call_id"), "kind", "link", "depth", "valid", F.concat_ws("; ", "errors").alias("errors"), "json")
+
+
+#: The same events in SQL, for conversations whose turns don't repeat.
+ORACLE = """
+WITH e AS (
+  SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN 'result' ELSE 'call' END AS kind,
+         lag(turn) OVER w = turn - 1 AS after_one, lag(role) OVER w AS before_role,
+         lead(turn) OVER w = turn + 1 AND lead(role) OVER w = 'assistant' AS answered
+  FROM conversations WHERE role IN ('system', 'user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (
+  SELECT *, sum(CASE WHEN after_one AND NOT (kind = 'result' AND before_role = 'assistant') THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island
+  FROM e),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 AS depth,
+         conv_id || ':' || CASE WHEN kind = 'result' THEN turn - 1 ELSE turn END AS call_id,
+         CASE WHEN kind = 'result' THEN CASE WHEN text IS NULL THEN '$: content' END
+              ELSE nullif(concat_ws('; ', CASE WHEN text IS NULL THEN '$.text: required' WHEN text = '' THEN '$.text: minLength' WHEN role = 'user' AND length(text) > 400 THEN '$.text: maxLength' END,
+                                    CASE WHEN role = 'system' AND turn > 0 THEN '$.turn: maximum' END), '') END AS fault
+  FROM i)
+SELECT conv_id, turn, role, call_id, kind, depth,
+       CASE WHEN kind = 'result' THEN CASE WHEN after_one AND before_role <> 'assistant' THEN 'linked' ELSE 'no call' END
+            ELSE CASE WHEN answered THEN 'linked' ELSE 'no result' END END AS link,
+       fault IS NULL AS valid, coalesce(fault, '') AS errors,
+       CASE WHEN kind = 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || call_id || '"}'
+            ELSE '{"function":{"arguments":{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"name":"' || CASE WHEN role = 'system' THEN 'configure' ELSE 'ask' END || '"},"id":"' || call_id || '","type":"function"}' END AS json
+FROM f
+"""
