@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cairn import queries_space, queries_time
+from cairn import queries_plans, queries_space, queries_time
 
 
 def queries() -> dict:
-    return {**queries_space.QUERIES, **queries_time.QUERIES}
+    return {**queries_space.QUERIES, **queries_time.QUERIES, **queries_plans.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_space.SQL, **queries_time.SQL}
+    return {**queries_space.SQL, **queries_time.SQL, **queries_plans.SQL}
