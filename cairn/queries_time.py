@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn import views as W
-from cairn.functions import geometry as G
 from cairn.operators import evaluate as E
 from cairn.operators import filters, timeline
 from cairn.queries_space import R, r, rounded, rs
