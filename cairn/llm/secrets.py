@@ -54,26 +54,28 @@ def battery(tokens: DataFrame) -> DataFrame:
     shares = [class_shares(alphabet) for *_, alphabet in ENCODINGS]
     change = [1 - sum(x * x for x in own) for own in shares]
     twice = [sum(x * (1 - x) ** 2 for x in own) for own in shares]
-    rows = tokens.withColumn("__body", F.regexp_replace("token", "=+$", "")).withColumn("__e", which)
-    rows = rows.withColumn("__alphabet", pick([a for *_, a in ENCODINGS])).withColumn("n", F.length("__body").cast("double"))
+    rows = C.cut(tokens.withColumn("__body", F.regexp_replace("token", "=+$", "")).withColumn("__e", which).withColumn("__alphabet", pick([a for *_, a in ENCODINGS])))
+    # cut here and below, as lambdas would work out again for each element what a column before them says
     symbols = F.sequence(F.lit(1), F.length("__alphabet"))
     count = F.transform(symbols, lambda k: F.length("__body") - F.length(F.replace(F.col("__body"), F.substring("__alphabet", k, F.lit(1)), F.lit(""))))
-    squares = F.aggregate(count, F.lit(0.0), lambda total, c: total + c.cast("double") * c)
-    # the value of each symbol, by code point order of the alphabet's parts
     values = F.transform(F.filter(F.split("__body", ""), lambda c: c != ""), lambda c: F.instr(F.col("__alphabet"), c).cast("double"))
-    rows = rows.withColumn("__k", F.length("__alphabet").cast("double")).withColumn("__squares", squares).withColumn("__v", values)
+    rows = C.cut(rows.select("token", "__body", "__e", F.length("__body").cast("double").alias("n"), F.length("__alphabet").cast("double").alias("__k"), count.alias("__count"), values.alias("__v")))
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0.0), lambda t, v: t + v)
+
     freedom = F.col("__k") - 1
-    chi = F.col("__k") / F.col("n") * F.col("__squares") - F.col("n")
+    chi = F.col("__k") / F.col("n") * total(F.transform("__count", lambda c: c.cast("double") * c)) - F.col("n")
     runs = F.regexp_count("__body", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")).cast("double")
     q, q2 = F.col("__q"), pick(twice)
     rows = rows.withColumn("__q", pick(change)).withColumn("__changes", runs - 1).withColumn("__pairs", F.col("n") - 1)
     spread = F.col("__pairs") * q * (1 - q) + 2 * (F.col("__pairs") - 1) * (q2 - q * q)
-    mean = F.aggregate("__v", F.lit(0.0), lambda total, v: total + v) / F.col("n")
-    rows = rows.withColumn("__m", mean)
-    rows = rows.withColumn("__d", F.transform("__v", lambda v: v - F.col("__m")))
-    lagged = F.zip_with(F.slice("__d", F.lit(1), F.size("__d") - 1), F.slice("__d", F.lit(2), F.size("__d") - 1), lambda a, b: a * b)
-    together = F.aggregate(lagged, F.lit(0.0), lambda total, v: total + v)
-    alone = F.aggregate("__d", F.lit(0.0), lambda total, v: total + v * v)
+    # sums of products of neighbours, and of squares, about the mean
+    sums, ends = total(F.col("__v")), F.element_at("__v", 1) + F.element_at("__v", -1)
+    mean = sums / F.col("n")
+    products = total(F.zip_with(F.slice("__v", F.lit(1), F.size("__v") - 1), F.slice("__v", F.lit(2), F.size("__v") - 1), lambda x, y: x * y))
+    together = products - mean * (2 * sums - ends) + F.col("__pairs") * mean * mean
+    alone = total(F.transform("__v", lambda v: v * v)) - F.col("n") * mean * mean
     seen, rare = F.least(F.col("__changes") / F.col("__pairs"), F.lit(1 - 1e-9)), STRUCTURE * q
     divergence = seen * F.log(seen / rare) + (1 - seen) * F.log((1 - seen) / (1 - rare))
     return rows.select(
@@ -82,7 +84,7 @@ def battery(tokens: DataFrame) -> DataFrame:
         "n",
         ((chi - freedom) / F.sqrt(2 * freedom * (F.col("n") - 1) / F.col("n"))).alias("z_chi"),
         ((F.col("__changes") - F.col("__pairs") * q) / F.sqrt(spread)).alias("z_runs"),
-        F.when(alone > 0, together / alone * F.sqrt("n")).otherwise(F.lit(float("inf"))).alias("z_serial"),
+        F.when(alone > 1e-9, together / alone * F.sqrt("n")).otherwise(F.lit(float("inf"))).alias("z_serial"),
         F.when(seen > rare, F.exp(-F.col("__pairs") * divergence)).otherwise(F.lit(1.0)).alias("p_structure"),
     )
 
