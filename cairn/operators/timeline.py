@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
 
+from . import voxel as V
+
 POSITION, ORIENTATION = ("x", "y", "z"), ("qx", "qy", "qz", "qw")
 
 
@@ -107,10 +109,9 @@ def exact_pairs(a: DataFrame, b: DataFrame, time: str = "t_ns", order: str = "se
 
 def positional(a: DataFrame, b: DataFrame, order: list[str], by: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Rows zipped by their place in order, up to the shorter table (``how`` = full: up to the longer)."""
-    line = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
     sides = []
     for name, df in (("a", a), ("b", b)):
-        ranked = df.withColumn("place", (F.row_number().over(line) - 1).cast("long"))
+        ranked = V.numbered(df, order, by, "place")
         sides.append(ranked.select(*(by or []), "place", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (by or [])]))
     return sides[0].join(sides[1], [*(by or []), "place"], how)
 

@@ -159,16 +159,43 @@ def segment_sums(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+#: Ranges that one order over all rows is dealt into.
+RANGES = 64
+
+
+def in_order(df: DataFrame, value, order: list[str], name: str, ranges: int = RANGES) -> DataFrame:
+    """Adds the running sum of ``value`` over all rows in the given order, without bringing them to one task.
+
+    Quantiles of the first column, which must be a number, cut the order into ranges; each range is a window of its own, and what
+    stands before it is a sum of at most ``ranges`` rows. Rows with the same first value share a range. Nulls come first.
+    """
+    first = F.col(order[0]).cast("double")
+    cuts = sorted(set(df.select(first.alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.001)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < first)) if cuts else F.lit(0)
+    rows = df.withColumn("__value", value).withColumn("__range", place)
+    sums = rows.groupBy("__range").agg(F.sum("__value").alias("__sum"))
+    line = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__range", F.coalesce(F.sum("__sum").over(line), F.lit(0)).alias("__base"))
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("__own", F.sum("__value").over(own)).join(F.broadcast(sums), "__range")
+    return local.withColumn(name, F.col("__own") + F.col("__base")).drop("__value", "__range", "__own", "__base")
+
+
 def scans(df: DataFrame, value: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Adds the inclusive and the exclusive running sum (which starts at 0), within ``by``."""
-    line = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("inclusive", F.sum(value).over(line)).withColumn("exclusive", F.col("inclusive") - F.col(value))
+    """Adds the inclusive and the exclusive running sum (which starts at 0), within ``by`` or over all rows."""
+    if by:
+        line = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.withColumn("inclusive", F.sum(value).over(line))
+    else:
+        rows = in_order(df, F.col(value), order, "inclusive")
+    return rows.withColumn("exclusive", F.col("inclusive") - F.col(value))
 
 
 def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "position") -> DataFrame:
-    """Adds 0, 1, 2 ... in the given order, within ``by``."""
-    line = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(line) - 1).cast("long"))
+    """Adds 0, 1, 2 ... in the given order, within ``by`` or over all rows."""
+    if by:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    return in_order(df, F.lit(1).cast("long"), order, name).withColumn(name, F.col(name) - 1)
 
 
 def gather(values: DataFrame, picks: DataFrame, position: str = "position") -> DataFrame:

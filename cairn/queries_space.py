@@ -377,6 +377,12 @@ def agg10(spark, sf):
     return voxel.scans(rows, "v", ["point_id"], ["cloud_id"]).select("point_id", "cloud_id", "inclusive", "exclusive")
 
 
+@query("agg10_scan_of_all", W.with_views("bulk", "SELECT point_id, CAST(sum(point_id % 5) OVER w AS BIGINT) AS inclusive, CAST(sum(point_id % 5) OVER w - point_id % 5 AS BIGINT) AS exclusive FROM bulk WINDOW w AS (ORDER BY y, point_id ROWS UNBOUNDED PRECEDING)"))
+def agg10a(spark, sf):
+    rows = W.bulk(spark, sf).withColumn("v", F.pmod("point_id", F.lit(5)))
+    return voxel.scans(rows, "v", ["y", "point_id"]).select("point_id", "inclusive", "exclusive")
+
+
 @query("agg11_gather", W.with_views("points", "SELECT p.position, p.point_id FROM (SELECT point_id, row_number() OVER (ORDER BY x, point_id) - 1 AS position FROM points) p WHERE p.position % 3 = 0"))
 def agg11(spark, sf):
     rows = voxel.numbered(W.points(spark, sf), ["x", "point_id"]).select("position", "point_id")
