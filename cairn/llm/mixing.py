@@ -148,9 +148,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = parts(plan.rows).select("__key", "block", "__row", "__from", "__words").join(plan.slots.select("__key", "block", "epoch"), ["__key", "block"])
     cuts = met.groupBy("__row", "epoch").agg(F.array_sort(F.collect_list(F.struct(F.col("__from").alias("f"), F.col("__words").alias("w")))).alias("__cuts"))
     cuts = cuts.groupBy("__row").agg(F.collect_list(F.struct("epoch", "__cuts")).alias("__epochs"))
-    joined = kept.join(cuts, "__row").withColumn("__tokens", F.regexp_extract_all(text_col, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
-    text = F.transform("__epochs", lambda e: F.array_join(F.flatten(F.transform(e["__cuts"], lambda c: F.slice("__tokens", (c["f"] + 1).cast("int"), c["w"].cast("int")))), ""))
-    out = joined.withColumn("__texts", text).withColumn("__text", F.explode("__texts"))
+    tokens = F.regexp_extract_all(text_col, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def texts(t: Column) -> Column:
+        return F.transform("__epochs", lambda e: F.array_join(F.flatten(F.transform(e["__cuts"], lambda c: F.slice(t, (c["f"] + 1).cast("int"), c["w"].cast("int")))), ""))
+
+    # the tokens are a lambda's argument, so that they are made once for all cuts of a row
+    out = kept.join(cuts, "__row").withColumn("__text", F.explode(F.element_at(F.transform(F.array(tokens), texts), 1)))
     columns = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == length_col else F.col(c) for c in df.columns]
     return out.select(*columns)
 
