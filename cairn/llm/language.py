@@ -15,10 +15,12 @@ from . import common as C
 
 #: Most frequent n-grams of a document and of a language; labelled documents per language that profiles are learned from, at most.
 DOCUMENT_GRAMS, PROFILE_GRAMS, SAMPLE_DOCS = 300, 400, 2000
+#: Up to so many languages their counts are broadcast; more meet the rows by a shuffle.
+MOST_LANGS = 10_000
 #: Documents and characters that are counted together: both bound memory.
 CHUNK_DOCS, CHUNK_CHARS = 1 << 12, 1 << 20
 UNKNOWN = "und"
-POINT = np.uint64(21)
+POINT, EDGE = np.uint64(21), 1
 
 
 @lru_cache(maxsize=1)
@@ -30,12 +32,13 @@ def letters() -> np.ndarray:
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text's number, n-gram, count) of all 1- to 3-grams, by text, then n-gram.
 
-    Texts are lower-cased; other characters than letters part words, whose edges count as a character of their own. An
+    Texts are lower-cased; other characters than letters part words, whose edges count as a character of their own (EDGE). An
     n-gram is a number with 21 bits a character.
     """
-    line = "".join(t.lower() + " " for t in texts)
+    lowered = [t.lower() for t in texts]
+    line = " " + "".join(t + " " for t in lowered)
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = [len(t.lower()) + 1 for t in texts]
+    sizes = [len(t) + 1 + (not k) for k, t in enumerate(lowered)]
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
     points = np.where(letters()[np.minimum(points, 0x10FFFF)], points, 0)
     known, code = np.unique(points, return_inverse=True)
@@ -53,16 +56,20 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owners = [owner[code > 0], pair_of[pairs], owner[1:-1][middle]]
     # the n-gram's length goes first, as the edge's code is 0
     width = np.uint64(3) * bits + np.uint64(2)
-    if int(width) + len(texts).bit_length() > 64:
-        raise OverflowError("too many texts and different letters at once")
+    if int(width) + len(texts).bit_length() > 64 and len(texts) > 1:  # too many different letters to count so many texts at once
+        half = len(texts) // 2
+        (o1, g1, n1), (o2, g2, n2) = gram_counts(texts[:half]), gram_counts(texts[half:])
+        return np.concatenate([o1, o2 + half]), np.concatenate([g1, g2]), np.concatenate([n1, n2])
     key = np.concatenate([(o << width) | (np.uint64(n) << (np.uint64(3) * bits)) | g for n, g, o in zip((1, 2, 3), grams, owners, strict=True)])
     key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     key = key[first]
-    mask = (np.uint64(1) << bits) - np.uint64(1)
+    mask, size = (np.uint64(1) << bits) - np.uint64(1), (key >> (np.uint64(3) * bits)) & np.uint64(3)
     wide = known.astype(np.uint64)
-    gram = (wide[(key >> (bits + bits)) & mask] << (POINT + POINT)) | (wide[(key >> bits) & mask] << POINT) | wide[key & mask]
+    wide[0] = EDGE
+    parts = [np.where(size > k, wide[(key >> np.uint64(k * int(bits))) & mask], np.uint64(0)) for k in range(3)]
+    gram = (parts[2] << (POINT + POINT)) | (parts[1] << POINT) | parts[0]
     return (key >> width).astype(np.int64), gram, count
 
 
@@ -102,9 +109,10 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out("id") & F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("bits", C.seeded(seed, "id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = C.cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     # a threshold first, so that few texts are moved; then exactly the smallest
-    likely = rows.join(counts, "lang").filter(F.col("bits") * F.col("n").cast("double") <= F.lit(2.0**53 * (1.5 * sample_docs + 50)))
+    few = counts.limit(MOST_LANGS + 1).count() <= MOST_LANGS
+    likely = rows.join(F.broadcast(counts) if few else counts, "lang").filter(F.col("bits") * F.col("n").cast("double") <= F.lit(2.0**53 * (1.5 * sample_docs + 50)))
     first = Window.partitionBy("lang").orderBy("bits", "id")
     sample = likely.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_docs).select("lang", "text")
 

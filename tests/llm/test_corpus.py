@@ -73,6 +73,15 @@ def test_gram_counts(texts):
         assert mine == want
 
 
+def test_very_many_letters():
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    texts = ["".join(letters[k::2000]) for k in range(2000)]
+    owner, grams, count = language.gram_counts(texts)
+    for k in (0, 999, 1000, 1999):
+        alone = language.gram_counts([texts[k]])
+        assert (grams[owner == k] == alone[1]).all() and (count[owner == k] == alone[2]).all()
+
+
 def test_language_edges(spark, data):
     profiles = language.learn(spark.read.parquet(f"{data}/documents.parquet"))
     assert sorted(profiles) == ["de", "en", "es", "fr"] and all(len(p) <= language.PROFILE_GRAMS for p in profiles.values())
