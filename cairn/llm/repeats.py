@@ -123,8 +123,8 @@ def packer(size: int, slices: int, anchored: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, ordinal = [], 0, [0]
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols, strict=True):
+            for scalars in zip(*batch.columns, strict=True):  # a row at a time: texts are long
+                row = [v.as_py() for v in scalars]
                 own = word_hashes(words_of(row[2]))
                 if len(own) < WINDOW:
                     continue
@@ -156,7 +156,7 @@ def matcher(anchored: bool) -> Callable:
         if filled:
             key = np.concatenate([unpacked_keys(keys[i], kind) for i in filled])
             mark = np.concatenate([from_planes(places[i], np.uint32) for i in filled])
-            row = np.repeat(np.array(filled), [len(keys[i]) // kind().itemsize for i in filled])
+            row = np.repeat(np.array(filled, dtype=np.int32), [len(keys[i]) // kind().itemsize for i in filled])
             order = np.argsort(key)
             key, mark, row = key[order], mark[order], row[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -209,7 +209,7 @@ def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, places) to (id, n_words, n_removed, spans, text): without the words that the windows at the places cover."""
     for batch in batches:
         n_words, n_removed, spans, texts = [], [], [], []
-        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, places in ((t.as_py(), p.as_py()) for t, p in zip(batch.column(1), batch.column(2), strict=True)):
             words = words_of(text)
             gone = np.zeros(len(words), dtype=bool)
             if places:
