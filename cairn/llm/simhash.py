@@ -14,7 +14,7 @@ from . import common as C
 
 SEED, BITS = 42, 64
 #: Shingle hashes turned into bit counts at a time; fingerprints whose variants are made at a time; rows of variants in a task.
-HASHES, FINGERPRINTS, VARIANTS = 1 << 16, 1 << 10, 1 << 21
+HASHES, FINGERPRINTS, VARIANTS = 1 << 16, 1 << 10, 1 << 19
 #: Fingerprints under one key that are compared each with each; larger groups are split by bytes first, where that is exact.
 PAIRWISE = 2048
 #: Groups up to this size give all their links, larger ones a forest.
@@ -27,7 +27,7 @@ class Scheme:
     """Shingles of ``words`` words, fingerprints of 64 ``lanes`` bits, links at ``distance`` bits or less, found in ``segments``.
 
     While distance < 2 segments, two linked fingerprints have a segment that differs in one bit at most, and every link is found. Beyond that the
-    segments find most (see the README). ``similarity``: links must also have that Jaccard similarity of their shingle sets, computed exactly.
+    segments find most (see the README), and more with ``cuts``: each further one cuts the bits into segments in another order. ``similarity``: links must also have that Jaccard similarity of their shingle sets, computed exactly.
     """
 
     words: int = 3
@@ -35,18 +35,24 @@ class Scheme:
     distance: int = 3
     segments: int = 2
     similarity: float | None = None
+    cuts: int = 1
 
     @property
     def width(self) -> int:
         return min(32, BITS * self.lanes // self.segments)
 
+    def order(self, cut: int) -> np.ndarray:
+        """Which bits the segments of a cut are made of, in order."""
+        bits = np.arange(BITS * self.lanes)
+        return (np.random.default_rng(cut).permutation(bits) if cut else bits)[: self.segments * self.width]
+
     @property
     def columns(self) -> list[str]:
         return [f"f{k}" for k in range(self.lanes)]
 
 
 #: The contract's fingerprints, and those for documents that share 0.8 of their shingles of five words.
-SHORT, WIDE = Scheme(), Scheme(words=5, lanes=4, distance=44, segments=12, similarity=0.8)
+SHORT, WIDE = Scheme(), Scheme(words=5, lanes=4, distance=44, segments=12, similarity=0.8, cuts=2)
 
 
 def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -189,9 +195,9 @@ def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(fps: DataFrame, scheme: Scheme) -> DataFrame:
+def signatures(fps: DataFrame, scheme: Scheme, cut: int = 0) -> DataFrame:
     """(key, node, f0 ...): each fingerprint under its deletion variants, a segment with one bit as the wildcard."""
-    lanes, segments, width, names = scheme.lanes, scheme.segments, scheme.width, scheme.columns
+    lanes, segments, width, names, bits_of = scheme.lanes, scheme.segments, scheme.width, scheme.columns, scheme.order(cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = np.arange(width, dtype=np.uint64)
@@ -200,7 +206,7 @@ def signatures(fps: DataFrame, scheme: Scheme) -> DataFrame:
             for start in range(0, whole.num_rows, FINGERPRINTS):
                 batch = whole.slice(start, FINGERPRINTS)
                 fps = np.stack([batch.column(1 + k).to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
-                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : segments * width]
+                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, bits_of]
                 value = (bits.reshape(-1, segments, width).astype(np.uint64) << places).sum(axis=2, dtype=np.uint64)
                 # the wildcard is set to 1; its place and the segment's are in the upper half
                 keys = (value[:, :, None] | (np.uint64(1) << places)) + number
@@ -210,8 +216,8 @@ def signatures(fps: DataFrame, scheme: Scheme) -> DataFrame:
     return fps.select("node", *names).mapInArrow(run, "key long, node long, " + ", ".join(f"{c} long" for c in names))
 
 
-def links(fps: DataFrame, scheme: Scheme = SHORT) -> DataFrame:
-    """(a, b), a < b: nodes of linked fingerprints. Small groups under a key give all their links; a large one gives a forest of
+def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
+    """(a, b), a < b: nodes of fingerprints that one cut's segments link. Small groups under a key give all their links; a large one gives a forest of
     them, which joins all that its links join, so no group emits more than some links per member.
 
     ``fps`` (node, f0 ...) has each fingerprint once.
@@ -240,7 +246,7 @@ def links(fps: DataFrame, scheme: Scheme = SHORT) -> DataFrame:
 
     rows = fps.count() * scheme.segments * scheme.width
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // VARIANTS))
-    return signatures(fps, scheme).repartition(tasks, "key").mapInArrow(probe, "a long, b long").distinct()
+    return signatures(fps, scheme, cut).repartition(tasks, "key").mapInArrow(probe, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,9 +300,13 @@ def grouped(rows: DataFrame, scheme: Scheme, texts: DataFrame | None = None) ->
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
     distinct = C.cut(rows.groupBy("node", *scheme.columns).agg(F.min(row).alias("first")))
     edges = links(distinct.select("node", *scheme.columns), scheme)
-    if scheme.similarity is not None:
+    if scheme.cuts > 1 or scheme.similarity is not None:
         edges = C.cut(edges)
+        for cut in range(1, scheme.cuts):
+            C.tidy(rows.sparkSession)
+            edges = C.cut(edges.union(links(distinct.select("node", *scheme.columns), scheme, cut)).distinct())
         C.tidy(rows.sparkSession)
+    if scheme.similarity is not None:
         edges = similar(edges, distinct, texts, scheme)
     labels = components(edges)
     of = C.cut(distinct.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
