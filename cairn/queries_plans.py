@@ -142,3 +142,21 @@ def opt16(spark, sf):
     found = search.estimate(batch, np.zeros(6), np.diag([0.25, 0.25, 0.01, 0, 0, 0.01]), startup=8, total=10, seed=1)
     row = (float(found.score), bool(found.reliable), len(found.particles), *map(float, found.pose))
     return spark.createDataFrame([row], "score double, reliable boolean, particles int, " + ", ".join(f"{c} double" for c in alignment.POSE))
+
+
+@query("opt2_newton_steps")
+def opt2(spark, sf):
+    """The step by each solver, and what the Hessian is like, at one pose."""
+    from cairn.operators import scoring
+
+    found = newton.Evaluation.of(scoring.total_derivatives(W.scan(spark, sf), map_grid(spark, sf), W.POSE, RES).first())
+    steps = {"svd": newton.solve_svd(found.hessian, found.gradient), "damped": newton.solve_damped(found.hessian, found.gradient, -1.0), "cholesky": newton.solve_cholesky(found.hessian, found.gradient), "ascent": newton.ascent_step(found.hessian, found.gradient)}
+    shape = (newton.is_positive_definite(found.hessian), newton.is_negative_definite(found.hessian), newton.condition_number(found.hessian))
+    rows = [(k, *([None] * 6 if v is None else map(float, v)), *shape) for k, v in steps.items()]
+    return spark.createDataFrame(rows, "solver string, " + ", ".join(f"d{c} double" for c in alignment.POSE) + ", positive boolean, negative boolean, condition double")
+
+
+@query("opt4_backtracking")
+def opt4(spark, sf):
+    scan, grid = W.scan(spark, sf).cache(), voxel.grid(W.points(spark, sf), RES).cache()
+    return outcome(spark, alignment.align(scan, grid, (0.05, -0.05, 0.02, 0.0, 0.0, 0.0), newton.Settings(max_iterations=2, search="backtracking")))

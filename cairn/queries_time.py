@@ -578,3 +578,14 @@ def tumbling(spark, sf):
     rows = W.events(spark, sf).withColumn("ts", F.timestamp_micros(F.floor(F.col("t_ns") / 1000)))
     found = P.windowed(rows, "ts", "1 day", None, "1 day", ["kind"], "value")
     return rounded(found.select("kind", F.unix_seconds("window.start").alias("start_s"), "n", "mean"), ["mean"])
+
+
+@query("str11_service_toggle", W.with_views("ev", "SELECT seq, CAST(sum(CASE WHEN kind = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM ev QUALIFY kind = 'view'"))
+def str11(spark, sf):
+    e = W.events(spark, sf)
+    return P.toggled(e.filter("kind = 'view'"), e.filter("kind = 'signup'"), ["user_id"], "seq").select("seq", "session")
+
+
+@query("src13_keep_last", W.with_views("ev", "SELECT kind, seq FROM (SELECT kind, seq, row_number() OVER (PARTITION BY kind ORDER BY seq DESC) AS n FROM ev) WHERE n <= 100"))
+def src13(spark, sf):
+    return P.keep_last(W.events(spark, sf), ["kind"], "seq", 100).select("kind", "seq")

@@ -71,6 +71,35 @@ def pose_stream(poses: DataFrame, keep_ns: int = 10_000_000_000) -> DataFrame:
     return poses.groupBy("source").applyInPandasWithState(update, SESSION_OUT, "session long, last long, held array<long>", "append", "NoTimeout")
 
 
+def toggled(poses: DataFrame, switches: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds ``session``: how often the service was switched (on or off) before a pose, which clears the buffer each time.
+
+    Both tables are sorted together; no pair of rows is compared.
+    """
+    marks = switches.select(*by, order, F.lit(1).cast("long").alias("__mark"), F.lit(None).cast("boolean").alias("__pose"))
+    both = poses.withColumn("__mark", F.lit(0).cast("long")).withColumn("__pose", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    line = Window.partitionBy(*by).orderBy(order, F.col("__mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("session", F.sum("__mark").over(line)).filter("__pose").drop("__mark", "__pose")
+
+
+def keep_last(rows: DataFrame, by: list[str], order: str, n: int = 1) -> DataFrame:
+    """What a subscription that keeps its last ``n`` messages holds."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc()))
+    return rows.withColumn("__n", nth).filter(F.col("__n") <= n).drop("__n")
+
+
+def subscribe(stream: DataFrame, by: list[str], order: str, n: int, held: str):
+    """Starts a stream that keeps the last ``n`` messages of each source in the table ``held`` (Parquet versions by micro-batch)."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        own = keep_last(batch, by, order, n)
+        if number:
+            own = keep_last(batch.unionByName(batch.sparkSession.read.parquet(f"{held}/v{number - 1}")), by, order, n)
+        own.write.mode("overwrite").parquet(f"{held}/v{number}")
+
+    return stream.writeStream.foreachBatch(fold)
+
+
 # --- transforms ----------------------------------------------------------------------------------
 
 

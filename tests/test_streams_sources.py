@@ -242,3 +242,14 @@ def test_pose_history_colours(spark):
     df = spark.createDataFrame([("a", k, 0.0) for k in range(4)], "run string, step_no int, x double")
     rows = sinks.pose_history(df, ["run"], "step_no").orderBy("step").collect()
     assert [(r["g"], r["b"]) for r in rows] == [(0.0, 1.0), (0.5, 1.0), (1.0, 1.0), (1.0, 0.5)]
+
+
+def test_subscription_keeps_the_last(spark, tmp_path):
+    schema = "source string, seq long"
+    for k in range(3):
+        spark.createDataFrame([("a", 10 * k + i) for i in range(3)] + [("b", k)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = P.subscribe(stream, ["source"], "seq", 2, str(tmp_path / "held")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "held" / "v2")).collect())) == [("a", 21), ("a", 22), ("b", 1), ("b", 2)]
