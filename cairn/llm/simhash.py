@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SEED, BITS = 42, 64
-#: Shingle hashes turned into bit counts at a time; fingerprints whose variants are made at a time; rows of variants in a task.
-HASHES, FINGERPRINTS, VARIANTS = 1 << 16, 1 << 10, 1 << 19
+#: Shingle hashes turned into bit counts at a time; fingerprints dealt at a time; dealt rows in a task.
+HASHES, FINGERPRINTS, DEALT = 1 << 16, 1 << 10, 1 << 17
 #: Fingerprints under one key that are compared each with each; larger groups are split by bytes first, where that is exact.
 PAIRWISE = 2048
 #: Groups up to this size give all their links, larger ones a forest.
@@ -195,30 +195,58 @@ def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(fps: DataFrame, scheme: Scheme, cut: int = 0) -> DataFrame:
-    """(key, node, f0 ...): each fingerprint under its deletion variants, a segment with one bit as the wildcard."""
+def values_of(bits: np.ndarray) -> np.ndarray:
+    """Numbers from bits along the last axis, the lowest first."""
+    return (bits.astype(np.uint64) << np.arange(bits.shape[-1], dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
+
+
+def dealt(fps: DataFrame, scheme: Scheme, cut: int = 0) -> DataFrame:
+    """(deal, node, f0 ...): each fingerprint twice for each segment, dealt by its upper and by its lower half.
+
+    A deletion variant leaves one half of the segment as it is, so all variants with the wildcard in the other half are made and
+    joined where that half has brought the fingerprints together: width / 2 variants don't travel, one row does.
+    """
     lanes, segments, width, names, bits_of = scheme.lanes, scheme.segments, scheme.width, scheme.columns, scheme.order(cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.arange(width, dtype=np.uint64)
-        number = (np.arange(segments * width, dtype=np.uint64) << np.uint64(32)).reshape(segments, width)
+        number = np.arange(2 * segments, dtype=np.uint64) << np.uint64(32)
         for whole in batches:
             for start in range(0, whole.num_rows, FINGERPRINTS):
                 batch = whole.slice(start, FINGERPRINTS)
                 fps = np.stack([batch.column(1 + k).to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
-                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, bits_of]
-                value = (bits.reshape(-1, segments, width).astype(np.uint64) << places).sum(axis=2, dtype=np.uint64)
-                # the wildcard is set to 1; its place and the segment's are in the upper half
-                keys = (value[:, :, None] | (np.uint64(1) << places)) + number
-                times = segments * width
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *[pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in range(1 + lanes)]], ["key", "node", *names])
-
-    return fps.select("node", *names).mapInArrow(run, "key long, node long, " + ", ".join(f"{c} long" for c in names))
+                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, bits_of].reshape(-1, segments, width)
+                halves = np.stack([values_of(bits[:, :, width // 2 :]), values_of(bits[:, :, : width // 2])], axis=2)
+                deal = halves.reshape(len(fps), -1) + number
+                rows = [pa.array(np.repeat(batch.column(k).to_numpy(), 2 * segments)) for k in range(1 + lanes)]
+                yield pa.RecordBatch.from_arrays([pa.array(deal.reshape(-1).view(np.int64)), *rows], ["deal", "node", *names])
+
+    return fps.select("node", *names).mapInArrow(run, "deal long, node long, " + ", ".join(f"{c} long" for c in names))
+
+
+def met(deal: np.ndarray, fp: np.ndarray, scheme: Scheme, cut: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each wildcard the rows that share a deletion variant of a segment: pairs (n, 2), and larger groups."""
+    bits_of, half = scheme.order(cut).reshape(scheme.segments, scheme.width), scheme.width // 2
+    code = deal >> np.uint64(32)
+    for c in np.unique(code):
+        segment, lower = divmod(int(c), 2)
+        free = bits_of[segment, half:] if lower else bits_of[segment, :half]
+        rows = np.flatnonzero(code == c)
+        value = values_of(np.unpackbits(fp[rows].view(np.uint8), axis=1, bitorder="little")[:, free])
+        base = (deal[rows] << np.uint64(32)) | value
+        for wildcard in range(len(free)):
+            key = base | (np.uint64(1) << np.uint64(wildcard))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(starts, len(key)))
+            two = starts[sizes == 2]
+            more = [rows[order[s : s + n]] for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
+            yield np.stack([rows[order[two]], rows[order[two + 1]]], axis=1), more
 
 
 def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
-    """(a, b), a < b: nodes of fingerprints that one cut's segments link. Small groups under a key give all their links; a large one gives a forest of
-    them, which joins all that its links join, so no group emits more than some links per member.
+    """(a, b), a < b: nodes of fingerprints that one cut's segments link. Small groups under a variant give all their links; a large one gives a
+    forest of them, which joins all that its links join, so no group emits more than some links per member.
 
     ``fps`` (node, f0 ...) has each fingerprint once.
     """
@@ -228,25 +256,27 @@ def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
         held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
         if not held:
             return
-        key, node, *lanes = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
-        fp = np.stack([c[order] for c in lanes], axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
-        two = starts[sizes == 2]
-        two = two[near(fp[two], fp[two + 1], distance)]
-        a, b = [node[two]], [node[two + 1]]
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if found := trees(fp[s : s + n], distance):
-                x, y = np.array(found).T
-                a.append(node[s + x]), b.append(node[s + y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    rows = fps.count() * scheme.segments * scheme.width
-    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // VARIANTS))
-    return signatures(fps, scheme, cut).repartition(tasks, "key").mapInArrow(probe, "a long, b long").distinct()
+        deal, node, *lanes = (np.concatenate(c) for c in zip(*held, strict=True))
+        fp = np.stack(lanes, axis=1).view(np.uint64)
+        del held, lanes
+        first, second = [], []
+        for two, more in met(deal.view(np.uint64), fp, scheme, cut):
+            two = two[near(fp[two[:, 0]], fp[two[:, 1]], distance)]
+            first.append(two[:, 0]), second.append(two[:, 1])
+            for group in more:
+                if found := trees(fp[group], distance):
+                    x, y = np.array(found).T
+                    first.append(group[x]), second.append(group[y])
+        if not first:
+            return
+        a, b = node[np.concatenate(first)], node[np.concatenate(second)]
+        # the same two meet under many variants of a segment that they have in common
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)], ["a", "b"])
+
+    rows = fps.count() * scheme.segments * 2
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+    return dealt(fps, scheme, cut).repartition(tasks, "deal").mapInArrow(probe, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -134,19 +134,21 @@ def test_forests_join_what_links_join(start, flips):
         simhash.PAIRWISE, simhash.ALL_LINKS = old
 
 
-def test_signatures_meet_at_distance_three(spark):
+@pytest.mark.parametrize("cut", [0, 1])
+def test_variants_meet_at_distance_three(spark, cut):
+    """Every pair that a few bits part is found, whichever segments and halves the bits are in; others aren't linked."""
     rng = random.Random(1)
     rows = []
-    for k in range(30):
+    for k in range(120):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), k % 4):
+        for bit in rng.sample(range(64), k % 5):
             b ^= 1 << bit
         rows += [(2 * k, a - 2**63), (2 * k + 1, b - 2**63)]
-    keys = simhash.signatures(spark.createDataFrame(rows, "node long, f0 long"), simhash.SHORT).toPandas()
-    assert len(keys) == 60 * 64
-    sets = keys.groupby("node")["key"].agg(set)
-    assert all(sets[2 * k] & sets[2 * k + 1] for k in range(30))
+    fps = spark.createDataFrame([r for r in rows if r[0] % 2 == 0 or r[0] % 10 != 1], "node long, f0 long")
+    got = {tuple(r) for r in simhash.links(fps, simhash.SHORT, cut).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(120) if k % 5 in (1, 2, 3)}
+    assert simhash.dealt(fps, simhash.SHORT).count() == 4 * fps.count()
 
 
 def test_long_chain_of_components(spark):
