@@ -103,7 +103,7 @@ def agg22(spark, sf):
     return rounded(E.convergence_rate(W.log(spark, sf)), ["convergence_pct"])
 
 
-@query("agg23_fil12_clock_offsets", W.with_views("ev", f"SELECT kind, {R('m')} AS mean_offset, {R('a')} AS min_offset, {R('b')} AS max_offset, CASE WHEN abs(m) > 365.25*86400 THEN 'wrong epoch' WHEN abs(m) > 86400 THEN 'large offset' WHEN abs(m) > 1 THEN 'drift' ELSE 'ok' END AS class FROM (SELECT kind, avg(o) AS m, min(o) AS a, max(o) AS b FROM (SELECT kind, (k * 40000000) / 1e9 AS o FROM ev) GROUP BY kind)"))
+@query("agg23_fil12_clock_offsets", W.with_views("ev", f"SELECT kind, {R('m')} AS mean_offset, {R('a')} AS min_offset, {R('b')} AS max_offset, CASE WHEN abs(m) > 365.25*86400 THEN 'wrong epoch' WHEN abs(m) > 86400 THEN 'large offset' WHEN abs(m) > 1 THEN 'drift' ELSE 'ok' END AS class FROM (SELECT kind, avg(o) AS m, min(o) AS a, max(o) AS b FROM (SELECT kind, (CAST(k AS BIGINT) * 40000000) / 1e9 AS o FROM ev) GROUP BY kind)"))
 def agg23(spark, sf):
     rows = W.events(spark, sf).withColumn("wall_ns", F.col("t_ns") + F.col("k").cast("long") * 40_000_000)
     found = E.clock_offsets(rows, "wall_ns", "t_ns", "kind").withColumn("class", filters.offset_class())
