@@ -25,6 +25,16 @@ def scratch(spark: SparkSession) -> str:
     return context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+#: Rows of an Arrow batch where the session has Spark's default, which is made for short rows.
+ARROW, DEFAULT_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Texts are long: Python workers get a thousand rows at a time, unless the session has a number of its own."""
+    if spark.conf.get(ARROW) == DEFAULT_ROWS:
+        spark.conf.set(ARROW, TEXT_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a reliable checkpoint, so a lost executor repeats nothing before it."""
     scratch(df.sparkSession)

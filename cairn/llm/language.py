@@ -18,7 +18,7 @@ DOCUMENT_GRAMS, PROFILE_GRAMS, SAMPLE_DOCS = 300, 400, 2000
 #: Up to so many languages their counts are broadcast; more meet the rows by a shuffle.
 MOST_LANGS = 10_000
 #: Documents and characters that are counted together: both bound memory.
-CHUNK_DOCS, CHUNK_CHARS = 1 << 12, 1 << 20
+CHUNK_DOCS, CHUNK_CHARS = 1 << 12, 1 << 18
 UNKNOWN = "und"
 POINT, EDGE = np.uint64(21), 1
 
@@ -125,6 +125,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     grams, at = np.unique(gram, return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(np.bincount(at, n, len(grams)).astype(np.int64))], ["lang", "gram", "n"])
 
+    C.text_batches(df.sparkSession)
     totals = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     out: dict[str, list[int]] = {}
@@ -170,6 +171,7 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
     A text that is null or has no letter is ``und`` with score 0, and so is any if there are no profiles. At equal
     distance the language first by name wins. Columns of ``df`` with the names of the new ones are replaced.
     """
+    C.text_batches(df.sparkSession)
     kept = df.drop(lang_out, score_out)
     at, names_out = kept.columns.index(text_col), [*kept.columns, lang_out, score_out]
 

@@ -139,6 +139,7 @@ def write_shards(df: DataFrame, root: str, text_col: str = "text", shard_bytes:
             out.write(b"\0" * 2 * TAR_BLOCK)
             out.close()
 
+    C.text_batches(df.sparkSession)
     stored = C.cut(df.select(F.col(text_col).alias("text")).mapInArrow(run, CATALOGUE))
     first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
     return first.select("digest", "at.*")

@@ -45,6 +45,7 @@ def tokenised(df: DataFrame, tokenizer: tuple[str, str] | None = None, capacity:
     A document's tokens are its text's, then END; a null text has only that. Longer ones are cut so that all pieces
     but the first are full. ``ids`` is null without ``keep_ids``. ``tokenizer``: path of the ranks and the pattern.
     """
+    C.text_batches(df.sparkSession)
     path, pattern = tokenizer or default_tokenizer()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

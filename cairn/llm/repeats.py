@@ -236,6 +236,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept words joined by one space. Null and empty texts have no words. A row that repeats repeats all its windows. An
     empty table gives no rows. Other columns of ``df`` are not read.
     """
+    C.text_batches(df.sparkSession)
     docs = df.select(*C.row_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     slices = max(1, -(-size // (6 * slice_hashes)))

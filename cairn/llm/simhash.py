@@ -125,6 +125,7 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1) ->
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHORT) -> DataFrame:
     """(id, k1, k2, node, f0 ...) of every row: its fingerprint as signed longs, and a number for it. Null and wordless texts have 0."""
+    C.text_batches(df.sparkSession)
     names, words, lanes = scheme.columns, scheme.words, scheme.lanes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
