@@ -117,16 +117,19 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
     """
     patterns = [ASSIGN, ACCESS, HEX, RUN]
     kinds = [*KINDS, "random"]
+
+    def matches(order: int, pattern: str) -> Column:
+        """A kind's matches, each with the length of what stands between it and the one before; null without any."""
+        hits, gaps = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)), F.split("__text", pattern, -1)
+        both = F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("value"), F.length(gap).alias("gap")))
+        # behind the last match there is a gap more
+        own = F.filter(both, lambda m: m["value"].isNotNull())
+        return F.when(F.col("__text").rlike(pattern), F.struct(F.lit(order).alias("order"), own.alias("hits")))
+
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("__text"))
-    found = [F.struct(F.lit(k).alias("order"), F.regexp_extract_all("__text", F.lit(p), F.lit(0)).alias("hits")) for k, p in enumerate(patterns)]
-    # what lies between matches gives their places
-    between = F.transform(F.col("__found"), lambda f: F.struct(f["order"].alias("order"), f["hits"].alias("hits"), F.when(F.size(f["hits"]) > 0, F.element_at(F.array(*[F.when(f["order"] == k, F.split("__text", p, -1)) for k, p in enumerate(patterns)]), f["order"] + 1)).alias("gaps")))
-    rows = C.cut(
-        rows.withColumn("__found", F.filter(F.array(*found), lambda f: F.size(f["hits"]) > 0))
-        .withColumn("__found", between)
-        .select("row", "id", F.transform("__found", lambda f: F.struct(f["order"].alias("order"), F.zip_with(f["hits"], F.slice(f["gaps"], F.lit(1), F.size(f["hits"])), lambda h, g: F.struct(h.alias("value"), F.length(g).alias("gap"))).alias("hits"))).alias("found"))
-    )
+    found = F.array_compact(F.array(*[matches(k, p) for k, p in enumerate(patterns)]))
+    rows = C.cut(rows.select("row", "id", found.alias("found")))
     hits = rows.select("row", F.explode("found").alias("f")).select("row", F.col("f.order").alias("order"), F.posexplode("f.hits").alias("nth", "hit"))
     hits = hits.select("row", "order", "nth", "hit.value", (F.length("hit.value")).alias("__size"), F.col("hit.gap").alias("__gap"))
     so_far = Window.partitionBy("row", "order").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
