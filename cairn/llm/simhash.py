@@ -258,7 +258,9 @@ def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
         if not held:
             return
         deal, node, *lanes = (np.concatenate(c) for c in zip(*held, strict=True))
-        fp = np.stack(lanes, axis=1).view(np.uint64)
+        # by node, so that a forest doesn't depend on the order in which rows arrive
+        order = np.argsort(node, kind="stable")
+        deal, node, fp = deal[order], node[order], np.stack(lanes, axis=1)[order].view(np.uint64)
         del held, lanes
         first, second = [], []
         for two, more in met(deal.view(np.uint64), fp, scheme, cut):
