@@ -19,6 +19,8 @@ HASHES, FINGERPRINTS, DEALT = 1 << 16, 1 << 10, 1 << 17
 PAIRWISE = 2048
 #: Groups up to this size give all their links, larger ones a forest.
 ALL_LINKS = 16
+#: Links that a task holds before those that repeat are merged.
+LINKS = 1 << 21
 ONES, GOLD = np.uint64(0x0101010101010101), 0x9E3779B97F4A7C15
 
 
@@ -179,6 +181,17 @@ def trees(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return spanning(links)
 
 
+def across(fps: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (as row numbers) between those of ``fps`` that have different labels."""
+    _, code, size = np.unique(label, return_inverse=True, return_counts=True)
+    # the most frequent label last: its members need no comparisons of their own
+    order = np.lexsort((code, size[code]))
+    starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+    behind = np.repeat(np.append(starts[1:], len(fps)), np.diff(np.append(starts, len(fps))))
+    hits = [order[e + np.flatnonzero(near(fps[order[e:]], fps[i], distance))] for i, e in zip(order[: starts[-1]], behind, strict=False)]
+    return np.repeat(order[: starts[-1]], [len(h) for h in hits]), np.concatenate([np.zeros(0, np.int64), *hits])
+
+
 def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Those of ``links`` that join what earlier ones haven't."""
     top: dict[int, int] = {}
@@ -202,12 +215,13 @@ def values_of(bits: np.ndarray) -> np.ndarray:
 
 
 def dealt(fps: DataFrame, scheme: Scheme, cut: int = 0) -> DataFrame:
-    """(deal, node, f0 ...): each fingerprint twice for each segment, dealt by its upper and by its lower half.
+    """(deal, node, f0 ..., label where ``fps`` has it): each fingerprint twice for each segment, dealt by its upper and by its lower half.
 
     A deletion variant leaves one half of the segment as it is, so all variants with the wildcard in the other half are made and
     joined where that half has brought the fingerprints together: width / 2 variants don't travel, one row does.
     """
-    lanes, segments, width, names, bits_of = scheme.lanes, scheme.segments, scheme.width, scheme.columns, scheme.order(cut)
+    lanes, segments, width, bits_of = scheme.lanes, scheme.segments, scheme.width, scheme.order(cut)
+    names = scheme.columns + [c for c in fps.columns if c == "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(2 * segments, dtype=np.uint64) << np.uint64(32)
@@ -218,7 +232,7 @@ def dealt(fps: DataFrame, scheme: Scheme, cut: int = 0) -> DataFrame:
                 bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, bits_of].reshape(-1, segments, width)
                 halves = np.stack([values_of(bits[:, :, width // 2 :]), values_of(bits[:, :, : width // 2])], axis=2)
                 deal = halves.reshape(len(fps), -1) + number
-                rows = [pa.array(np.repeat(batch.column(k).to_numpy(), 2 * segments)) for k in range(1 + lanes)]
+                rows = [pa.array(np.repeat(batch.column(k).to_numpy(), 2 * segments)) for k in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(deal.reshape(-1).view(np.int64)), *rows], ["deal", "node", *names])
 
     return fps.select("node", *names).mapInArrow(run, "deal long, node long, " + ", ".join(f"{c} long" for c in names))
@@ -249,9 +263,10 @@ def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
     """(a, b), a < b: nodes of fingerprints that one cut's segments link. Small groups under a variant give all their links; a large one gives a
     forest of them, which joins all that its links join, so no group emits more than some links per member.
 
-    ``fps`` (node, f0 ...) has each fingerprint once.
+    ``fps`` (node, f0 ...) has each fingerprint once. Where links must also be similar, a forest may join by links that aren't: then each member of a tree
+    that leaves links out is given as (a, a). With a column ``label``, all links between different labels are given, whatever the size of a group.
     """
-    distance = scheme.distance
+    distance, labelled, marked = scheme.distance, "label" in fps.columns, scheme.similarity is not None
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
@@ -260,21 +275,42 @@ def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
         deal, node, *lanes = (np.concatenate(c) for c in zip(*held, strict=True))
         # by node, so that a forest doesn't depend on the order in which rows arrive
         order = np.argsort(node, kind="stable")
-        deal, node, fp = deal[order], node[order], np.stack(lanes, axis=1)[order].view(np.uint64)
+        deal, node = deal[order], node[order]
+        label = lanes.pop()[order] if labelled else None
+        fp = np.stack(lanes, axis=1)[order].view(np.uint64)
         del held, lanes
-        first, second = [], []
+        both, first, second, size = np.zeros((0, 2), np.int64), [], [], 0
+
+        def merged() -> np.ndarray:
+            """The same two meet under many variants of a segment that they have in common."""
+            a, b = node[np.concatenate([np.zeros(0, np.int64), *first])], node[np.concatenate([np.zeros(0, np.int64), *second])]
+            first.clear(), second.clear()
+            return np.unique(np.concatenate([both, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)]), axis=0)
+
         for two, more in met(deal.view(np.uint64), fp, scheme, cut):
             two = two[near(fp[two[:, 0]], fp[two[:, 1]], distance)]
-            first.append(two[:, 0]), second.append(two[:, 1])
+            if labelled:
+                two = two[label[two[:, 0]] != label[two[:, 1]]]
+            found = [(two[:, 0], two[:, 1])]
             for group in more:
-                if found := trees(fp[group], distance):
-                    x, y = np.array(found).T
-                    first.append(group[x]), second.append(group[y])
-        if not first:
-            return
-        a, b = node[np.concatenate(first)], node[np.concatenate(second)]
-        # the same two meet under many variants of a segment that they have in common
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                if labelled:
+                    if (label[group] != label[group[0]]).any():
+                        x, y = across(fp[group], label[group], distance)
+                        found.append((group[x], group[y]))
+                elif pairs := trees(fp[group], distance):
+                    x, y = np.array(pairs).T
+                    found.append((group[x], group[y]))
+                    if marked and len(group) > ALL_LINKS:
+                        # a tree of one link leaves none out
+                        hub = np.flatnonzero(np.bincount(np.concatenate([x, y])) > 1)
+                        some = np.unique(np.concatenate([x, y])[np.tile(np.isin(x, hub) | np.isin(y, hub), 2)])
+                        found.append((group[some], group[some]))
+            for x, y in found:
+                first.append(x), second.append(y)
+                size += len(x)
+            if size >= LINKS:
+                both, size = merged(), 0
+        both = merged()
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)], ["a", "b"])
 
     rows = fps.count() * scheme.segments * 2
@@ -282,6 +318,18 @@ def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
     return dealt(fps, scheme, cut).repartition(tasks, "deal").mapInArrow(probe, "a long, b long").distinct()
 
 
+def all_links(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """The links of all cuts."""
+    edges = links(fps, scheme)
+    if scheme.cuts > 1 or scheme.similarity is not None:
+        edges = C.cut(edges)
+        for cut in range(1, scheme.cuts):
+            C.tidy(fps.sparkSession)
+            edges = C.cut(edges.union(links(fps, scheme, cut)).distinct())
+        C.tidy(fps.sparkSession)
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links lead to, for every node of ``edges`` (a, b).
 
@@ -332,15 +380,16 @@ def grouped(rows: DataFrame, scheme: Scheme, texts: DataFrame | None = None) ->
     """(node, least): of each distinct fingerprint of ``rows`` the least row of its component, as (none, id, k1, k2)."""
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
     distinct = C.cut(rows.groupBy("node", *scheme.columns).agg(F.min(row).alias("first")))
-    edges = links(distinct.select("node", *scheme.columns), scheme)
-    if scheme.cuts > 1 or scheme.similarity is not None:
-        edges = C.cut(edges)
-        for cut in range(1, scheme.cuts):
-            C.tidy(rows.sparkSession)
-            edges = C.cut(edges.union(links(distinct.select("node", *scheme.columns), scheme, cut)).distinct())
-        C.tidy(rows.sparkSession)
+    fps = distinct.select("node", *scheme.columns)
+    edges = all_links(fps, scheme)
     if scheme.similarity is not None:
-        edges = similar(edges, distinct, texts, scheme)
+        left_out = C.cut(edges.filter("a = b").select(F.col("a").alias("node")))
+        edges = C.cut(similar(edges.filter("a <> b"), distinct, texts, scheme))
+        if left_out.limit(1).count():
+            # what a forest left out is compared too, unless links that hold join it already
+            parts = components(edges)
+            fps = C.cut(fps.join(left_out, "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")))
+            edges = C.cut(edges.union(similar(all_links(fps, scheme), distinct, texts, scheme)))
     labels = components(edges)
     of = C.cut(distinct.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
     least = of.groupBy("label").agg(F.min("first").alias("least"))

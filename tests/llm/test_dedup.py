@@ -268,3 +268,15 @@ def test_packing_of_keys():
     assert (repeats.unpacked_keys(repeats.packed_keys(keys), np.uint32) == keys).all()
     wide = keys.astype(np.uint64) << np.uint64(20)
     assert (repeats.unpacked_keys(repeats.packed_keys(wide), np.uint64) == wide).all()
+
+
+def test_links_that_a_forest_leaves_out(spark):
+    """Twenty pairs of equal texts, all under the keys of a hub that is like none of them: the hub must not hide the pairs."""
+    scheme = simhash.Scheme(words=5, lanes=4, distance=44, segments=12, similarity=0.8)
+    # fingerprints that differ in two bits or more of the first segment only
+    rows = [(k, k, 0, k, 2 * k + k.bit_count() % 2, 0, 0, 0) for k in range(41)]
+    said = [f"word{(k + 1) // 2} " * 3 for k in range(41)]
+    rows = spark.createDataFrame(rows, "id long, k1 long, k2 int, node long, f0 long, f1 long, f2 long, f3 long")
+    texts = spark.createDataFrame([(k, 0, t) for k, t in enumerate(said)], "k1 long, k2 int, text string")
+    got = {r["node"]: r["least"]["id"] for r in simhash.grouped(rows, scheme, texts).collect()}
+    assert got == {k: said.index(t) for k, t in enumerate(said)}
