@@ -97,8 +97,8 @@ def shingles(text: str | None, words: int) -> list[int]:
     return [xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(edges, edges[words:], strict=False)]
 
 
-def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1) -> np.ndarray:
-    """The fingerprint of each text, (texts, lanes) of uint64: the bits set in more than half of its shingles' hashes."""
+def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """The fingerprint of each text, (texts, lanes) of uint64: the bits set in more than half of its shingles' hashes; ``distinct``: a shingle that repeats counts once."""
     out = np.zeros((len(texts), lanes), dtype=np.uint64)
     shift = np.arange(BITS, dtype=np.uint64)
     hashes: list[int] = []
@@ -116,6 +116,7 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1) ->
 
     for at, text in enumerate(texts):
         if own := shingles(text, words):
+            own = list(dict.fromkeys(own)) if distinct else own
             starts.append(len(hashes))
             owners.append(at)
             hashes += own
@@ -128,11 +129,12 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1) ->
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHORT) -> DataFrame:
     """(id, k1, k2, node, f0 ...) of every row: its fingerprint as signed longs, and a number for it. Null and wordless texts have 0."""
     C.text_batches(df.sparkSession)
-    names, words, lanes = scheme.columns, scheme.words, scheme.lanes
+    # the similarity is that of sets, so fingerprints made for it are too
+    names, words, lanes, distinct = scheme.columns, scheme.words, scheme.lanes, scheme.similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints_of(batch.column(3).to_pylist(), words, lanes).view(np.int64)
+            fps = fingerprints_of(batch.column(3).to_pylist(), words, lanes, distinct).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes)]], ["id", "k1", "k2", *names])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()

@@ -280,3 +280,11 @@ def test_links_that_a_forest_leaves_out(spark):
     texts = spark.createDataFrame([(k, 0, t) for k, t in enumerate(said)], "k1 long, k2 int, text string")
     got = {r["node"]: r["least"]["id"] for r in simhash.grouped(rows, scheme, texts).collect()}
     assert got == {k: said.index(t) for k, t in enumerate(said)}
+
+
+def test_repeated_passages_leave_wide_fingerprints(spark):
+    """A text and the same with its first 60 words six times more share 0.97 of their shingles: they must be candidates."""
+    text = prose(random.Random(11), 300, 5000)
+    longer = " ".join([text, *[" ".join(text.split()[:60])] * 6])
+    a, b = ([r[f"f{k}"] % 2**64 for k in range(4)] for r in simhash.fingerprints(docs(spark, [text, longer]), scheme=simhash.WIDE).collect())
+    assert sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 23
