@@ -98,8 +98,11 @@ def shingles(text: str | None, words: int) -> list[int]:
 
 
 def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, distinct: bool = False) -> np.ndarray:
-    """The fingerprint of each text, (texts, lanes) of uint64: the bits set in more than half of its shingles' hashes; ``distinct``: a shingle that repeats counts once."""
-    out = np.zeros((len(texts), lanes), dtype=np.uint64)
+    """The fingerprint of each text, (texts, lanes) of uint64: the bits set in more than half of its shingles' hashes. ``distinct``: a shingle that repeats
+    counts once, and a further column has a digest of the set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    out = np.zeros((len(texts), lanes + distinct), dtype=np.uint64)
     shift = np.arange(BITS, dtype=np.uint64)
     hashes: list[int] = []
     starts: list[int] = []
@@ -116,7 +119,9 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, dis
 
     for at, text in enumerate(texts):
         if own := shingles(text, words):
-            own = list(dict.fromkeys(own)) if distinct else own
+            if distinct:
+                own = sorted(set(own))
+                out[at, lanes] = xxh64_intdigest(np.array(own, dtype=np.uint64).tobytes(), SEED)
             starts.append(len(hashes))
             owners.append(at)
             hashes += own
@@ -127,20 +132,24 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, dis
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHORT) -> DataFrame:
-    """(id, k1, k2, node, f0 ...) of every row: its fingerprint as signed longs, and a number for it. Null and wordless texts have 0."""
+    """(id, k1, k2, node, f0 ...) of every row: its fingerprint as signed longs, and a number for it. Null and wordless texts have 0.
+
+    Where links must be similar, the number is also that of the set of shingles: texts with one fingerprint and different sets are compared like any others.
+    """
     C.text_batches(df.sparkSession)
     # the similarity is that of sets, so fingerprints made for it are too
-    names, words, lanes, distinct = scheme.columns, scheme.words, scheme.lanes, scheme.similarity is not None
+    words, lanes, distinct = scheme.words, scheme.lanes, scheme.similarity is not None
+    names = scheme.columns + ["digest"] * distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = fingerprints_of(batch.column(3).to_pylist(), words, lanes, distinct).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes)]], ["id", "k1", "k2", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(names))]], ["id", "k1", "k2", *names])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), *C.row_keys(id_col, text_col), F.col(text_col).alias("text"))
     rows = rows.mapInArrow(run, f"id {kind}, k1 long, k2 int, " + ", ".join(f"{c} long" for c in names))
-    return rows.withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*names))
+    return rows.withColumn("node", F.col("f0") if names == ["f0"] else F.xxhash64(*names)).drop("digest")
 
 
 def near(many: np.ndarray, one: np.ndarray, distance: int) -> np.ndarray:

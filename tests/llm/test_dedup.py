@@ -288,3 +288,14 @@ def test_repeated_passages_leave_wide_fingerprints(spark):
     longer = " ".join([text, *[" ".join(text.split()[:60])] * 6])
     a, b = ([r[f"f{k}"] % 2**64 for k in range(4)] for r in simhash.fingerprints(docs(spark, [text, longer]), scheme=simhash.WIDE).collect())
     assert sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 23
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """Texts with one fingerprint (a line a hundred times, then own words) and different shingles aren't one node; texts with the same shingles are."""
+    rng = random.Random(12)
+    line = "a line of nine words that comes very often "
+    one, other = (line * 100 + prose(rng, 60, 5000) for _ in range(2))
+    node = {r["id"]: r["node"] for r in simhash.fingerprints(docs(spark, [one, other, one.upper(), None, ""]), scheme=simhash.WIDE).collect()}
+    assert node[0] == node[2] != node[1] and node[3] == node[4]
+    made = simhash.fingerprints_of([one, other, one.upper(), ""], 5, 4, True)
+    assert made.shape == (4, 5) and made[0, 4] == made[2, 4] != made[1, 4]
