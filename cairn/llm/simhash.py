@@ -54,7 +54,7 @@ class Scheme:
 
 
 #: The contract's fingerprints, and those for documents that share 0.8 of their shingles of five words.
-SHORT, WIDE = Scheme(), Scheme(words=5, lanes=4, distance=44, segments=12, similarity=0.8, cuts=2)
+SHORT, WIDE = Scheme(), Scheme(words=5, lanes=4, distance=60, segments=12, similarity=0.8, cuts=6)
 
 
 def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -299,3 +299,20 @@ def test_equal_fingerprints_of_different_texts(spark):
     assert node[0] == node[2] != node[1] and node[3] == node[4]
     made = simhash.fingerprints_of([one, other, one.upper(), ""], 5, 4, True)
     assert made.shape == (4, 5) and made[0, 4] == made[2, 4] != made[1, 4]
+
+
+
+@pytest.mark.parametrize("size", [60, 200, 1000])
+def test_wide_recall_by_similarity(size):
+    """Of pairs of shingle sets at a similarity of 0.8 to 0.95, all of them known, the segments and the distance find nearly all."""
+    rng, scheme = np.random.default_rng(size), simhash.WIDE
+    for similarity in (0.8, 0.82, 0.85, 0.9, 0.95):
+        same = int(np.ceil(2 * similarity / (1 + similarity) * size))
+        whole = [rng.integers(0, 2**64, 2 * size - same, dtype=np.uint64) for _ in range(400)]
+        bits = []
+        for some in ([w[:size] for w in whole], [w[size - same :] for w in whole]):
+            flat, starts = np.concatenate(some), np.arange(400) * size
+            bits.append(np.concatenate([2 * simhash.bit_counts(simhash.lanes_of(flat, k), starts) > size for k in range(scheme.lanes)], axis=1))
+        apart = bits[0] != bits[1]
+        met = np.any([(apart[:, scheme.order(cut).reshape(scheme.segments, -1)].sum(axis=2) <= 1).any(axis=1) for cut in range(scheme.cuts)], axis=0)
+        assert (met & (apart.sum(axis=1) <= scheme.distance)).mean() >= 0.99
