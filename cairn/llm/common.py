@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +15,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster. Where no one has named one (tests), a temporary folder is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the folder already set for checkpoints. Where neither is
+    there, one is made, but only for a local master: on a cluster a machine's own folder would lose what other machines need."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-")
+        where = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            where = tempfile.mkdtemp(prefix="cairn-")
         context.setCheckpointDir(where)
     return context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
@@ -36,9 +39,12 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint, so a lost executor repeats nothing before it."""
+    """``df`` computed once and kept as a reliable checkpoint, so a lost executor repeats nothing before it. The shuffle files that led to it are removed."""
     scratch(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    # of this plan alone: other frames that share steps with ``df`` have shuffles of their own
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -48,26 +54,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collects the driver's garbage, which lets Spark remove the shuffle files of steps already cut, and gives it a moment to do so."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:
-    """Two hashes of a row's id and text, never null: rows that agree in both are copies of the same row."""
-    return [F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, id_col).alias("k2")]
+    """128 bits of a row's id and text, nulls told apart: rows that agree in both are copies of the same row."""
+    parts = [x for c in (id_col, text_col) for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *parts).alias("k2")]
 
 
-def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df``, all columns, whose keys are in ``kept`` (k1, k2, each pair once): of rows that repeat, one."""
-    k1, k2 = row_keys(id_col, text_col)
-    keyed = df.withColumn("__k1", k1).withColumn("__k2", k2)
-    met = keyed.join(kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["__k1", "__k2"])
-    same = Window.partitionBy("__k1", "__k2").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))
-    return met.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(*df.columns)
+def keep_rows(df: DataFrame, kept: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df``, all columns, whose keys are in ``kept`` (k1, k2, each pair once): of rows that repeat the one whose other columns have the smallest hash.
+
+    ``rows`` has (k1, k2) of every row of ``df``. Columns of ``df`` may have any names. Rows that repeat are merged where they were read, before they are shuffled, so one that is a third of the table does no harm.
+    """
+    times = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times"))
+    kept = cut(kept.select("k1", "k2").join(times, ["k1", "k2"]))
+    keyed = df.select(*row_keys(id_col, text_col), F.struct(*[column(c) for c in df.columns]).alias("row"))
+    out = keyed.join(kept.filter("times = 1").select("k1", "k2"), ["k1", "k2"]).select("row.*")
+    again = kept.filter("times > 1").select("k1", "k2")
+    if again.limit(1).count():
+        met = cut(keyed.join(again, ["k1", "k2"], "left_semi"))
+        one = met.withColumn("bits", F.xxhash64("row")).groupBy("k1", "k2").agg(F.min_by("row", "bits").alias("row"))
+        out = out.union(one.select("row.*"))
+    return out
 
 
 def bucket_count(rows: int) -> int:

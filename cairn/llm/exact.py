@@ -74,8 +74,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that stay by ``exact_groups``."""
-    return C.keep_rows(df, grouped(df, id_col, text_col).filter("kept").select("k1", "k2"), id_col, text_col)
+    """The rows of ``df``, all columns whatever their names, that stay by ``exact_groups``; nulls, empty texts, rows that repeat and empty tables as there."""
+    found = C.cut(grouped(df, id_col, text_col).select("k1", "k2", "kept"))
+    return C.keep_rows(df, found.filter("kept").select("k1", "k2"), found, id_col, text_col)
 
 
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def packer(size: int, slices: int, anchored: bool) -> Callable:
 
         lengths = np.array([len(h[2]) for h in held], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        k1, k2 = np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int32)
+        k1, k2 = np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64)
         batch = xxh64_intdigest(k1.tobytes() + k2.tobytes(), ordinal[0]) >> 2
         ordinal[0] += 1
         hashes = window_hashes(np.concatenate([h[2] for h in held]), size)
@@ -186,13 +186,13 @@ def unpack(table: pa.Table) -> pa.Table:
         first, again = np.frombuffer(own["same"], dtype=np.uint32).reshape(2, -1)
         hits = np.unique(np.concatenate([hits, again[np.isin(first, hits)]])).astype(np.int64)
         starts = np.frombuffer(own["starts"], dtype=np.int64)
-        k1, k2 = np.frombuffer(own["k1"], dtype=np.int64), np.frombuffer(own["k2"], dtype=np.int32)
+        k1, k2 = np.frombuffer(own["k1"], dtype=np.int64), np.frombuffer(own["k2"], dtype=np.int64)
         owner = np.searchsorted(starts, hits, side="right") - 1
         edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(hits)), strict=True):
             at = owner[a]
             rows.append((int(k1[at]), int(k2[at]), (hits[a:b] - starts[at]).astype(np.uint32).tobytes()))
-    kinds = [pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("k1", "k2", "places"), list(zip(*rows, strict=True)) or [()] * 3, kinds, strict=True)})
 
 
@@ -200,7 +200,7 @@ def locate(texts: DataFrame, size: int, slices: int, anchored: bool) -> DataFram
     """(k1, k2, places): where windows of ``size`` words that occur elsewhere too start, one row for each key at most."""
     packed = texts.mapInArrow(packer(size, slices, anchored), PACKED)
     found = C.cut(packed.groupBy("slice").applyInArrow(matcher(anchored), LOCATED))
-    each = found.groupBy("batch").applyInArrow(unpack, "k1 long, k2 int, places binary")
+    each = found.groupBy("batch").applyInArrow(unpack, "k1 long, k2 long, places binary")
     # rows that repeat have the same key and the same places
     return each.groupBy(*KEY).agg(F.first("places").alias("places"))
 
@@ -241,12 +241,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     slices = max(1, -(-size // (6 * slice_hashes)))
     anchors = C.cut(locate(docs.select(*KEY, "text"), BLOCK, slices, True))
-    C.tidy(df.sparkSession)
     met = C.stored(docs.join(anchors, KEY, "left"))
-    C.tidy(df.sparkSession)
     some = met.filter(F.col("places").isNotNull())
     windows = C.cut(locate(some.select(*KEY, "text", "places"), WINDOW, slices, False))
-    C.tidy(df.sparkSession)
     again = some.drop("places").join(windows, KEY, "left").select("id", "text", "places")
     rest = met.filter(F.col("places").isNull()).select("id", "text", "places")
     kind = df.select(id_col).schema[0].dataType.simpleString()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -15,12 +17,16 @@ from . import common as C
 SEED, BITS = 42, 64
 #: Shingle hashes turned into bit counts at a time; fingerprints dealt at a time; dealt rows in a task.
 HASHES, FINGERPRINTS, DEALT = 1 << 16, 1 << 10, 1 << 17
+#: Fingerprints of one deal that meet in a task; more are split into blocks.
+DEAL = 1 << 18
+#: Groups under a variant up to this size are compared by offsets, all groups at once; larger ones grow one by one.
+FEW = 64
 #: Fingerprints under one key that are compared each with each; larger groups are split by bytes first, where that is exact.
 PAIRWISE = 2048
-#: Groups up to this size give all their links, larger ones a forest.
-ALL_LINKS = 16
-#: Links that a task holds before those that repeat are merged.
-LINKS = 1 << 21
+#: Shingles of the texts that are compared in a task; bits of their bitmap.
+BLOCK, BITMAP = 1 << 20, 1 << 29
+#: Nodes that are broadcast as they have very many links, at most; and the least links that make such a node.
+HUBS = 100_000
 ONES, GOLD = np.uint64(0x0101010101010101), 0x9E3779B97F4A7C15
 
 
@@ -99,10 +105,10 @@ def shingles(text: str | None, words: int) -> list[int]:
 
 def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, distinct: bool = False) -> np.ndarray:
     """The fingerprint of each text, (texts, lanes) of uint64: the bits set in more than half of its shingles' hashes. ``distinct``: a shingle that repeats
-    counts once, and a further column has a digest of the set of shingles."""
+    counts once, and two further columns have a digest and the size of the set of shingles."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros((len(texts), lanes + distinct), dtype=np.uint64)
+    out = np.zeros((len(texts), lanes + 2 * distinct), dtype=np.uint64)
     shift = np.arange(BITS, dtype=np.uint64)
     hashes: list[int] = []
     starts: list[int] = []
@@ -121,7 +127,7 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, dis
         if own := shingles(text, words):
             if distinct:
                 own = sorted(set(own))
-                out[at, lanes] = xxh64_intdigest(np.array(own, dtype=np.uint64).tobytes(), SEED)
+                out[at, lanes:] = xxh64_intdigest(np.array(own, dtype=np.uint64).tobytes(), SEED), len(own)
             starts.append(len(hashes))
             owners.append(at)
             hashes += own
@@ -134,12 +140,12 @@ def fingerprints_of(texts: list[str | None], words: int = 3, lanes: int = 1, dis
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHORT) -> DataFrame:
     """(id, k1, k2, node, f0 ...) of every row: its fingerprint as signed longs, and a number for it. Null and wordless texts have 0.
 
-    Where links must be similar, the number is also that of the set of shingles: texts with one fingerprint and different sets are compared like any others.
+    Where links must be similar, the number is also that of the set of shingles, whose ``size`` is added: texts with one fingerprint and different sets are compared like any others.
     """
     C.text_batches(df.sparkSession)
     # the similarity is that of sets, so fingerprints made for it are too
     words, lanes, distinct = scheme.words, scheme.lanes, scheme.similarity is not None
-    names = scheme.columns + ["digest"] * distinct
+    names = scheme.columns + ["digest", "size"] * distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,76 +154,82 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), *C.row_keys(id_col, text_col), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, k1 long, k2 int, " + ", ".join(f"{c} long" for c in names))
-    return rows.withColumn("node", F.col("f0") if names == ["f0"] else F.xxhash64(*names)).drop("digest")
+    rows = rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, " + ", ".join(f"{c} long" for c in names))
+    return rows.withColumn("node", F.col("f0") if names == ["f0"] else F.xxhash64(*[c for c in names if c != "size"])).drop("digest")
 
 
-def near(many: np.ndarray, one: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(many ^ one).sum(axis=-1) <= distance
+class Joined:
+    """Which of some places are joined: at first those with the same label, then what ``join`` adds. ``links`` are the pairs that joined parts that were apart, so
+    there are always fewer of them than places."""
 
+    def __init__(self, label: np.ndarray):
+        _, first, code = np.unique(label, return_index=True, return_inverse=True)
+        self.top = first[code]
+        self.links: list[tuple[int, int]] = []
 
-def trees(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (as row numbers) that join those of ``fps`` (distinct, sharing a key) that a chain of links inside the group joins.
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        at = self.top[places]
+        while ((up := self.top[at]) != at).any():
+            at = up
+        self.top[places] = at
+        return at
 
-    A group grows trees breadth first: each fingerprint reached is compared to all that aren't yet, in one vector
-    step, so a tree of k fingerprints gives k - 1 links. A large group at a distance under 8 is split by each of
-    the eight bytes of its lane: two fingerprints that differ in at most ``distance`` bytes have another that is equal, so any
-    two are together in some part. What the parts link is joined by the whole.
+    def root(self, place: int) -> int:
+        while (up := int(self.top[place])) != place:
+            place = up
+        return place
+
+    def join(self, some: np.ndarray, others: np.ndarray) -> None:
+        for x, y in zip(some.tolist(), others.tolist(), strict=True):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.top[max(p, q)] = min(p, q)
+                self.links.append((x, y))
+
+
+def grow(group: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray], joined: Joined) -> None:
+    """Joins those of ``group`` (different places) that a chain of links inside it joins. ``linked(x, others)`` says which of the others a place links to.
+
+    Parts grow breadth first, the smallest first. Each step walks the smaller of the front and the rest, and compares each place there to all of
+    the other in one vector step; what is joined already is never compared. So a group that one place links costs a step, and one of strangers its pairs.
     """
-    if len(fps) <= ALL_LINKS:
-        return [(i, i + 1 + int(j)) for i in range(len(fps) - 1) for j in np.flatnonzero(near(fps[i + 1 :], fps[i], distance))]
-    by_byte = fps.view(np.uint8).reshape(len(fps), -1)
-    varied = [k for k in range(by_byte.shape[1]) if (by_byte[:, k] != by_byte[0, k]).any()]
-    if len(fps) <= PAIRWISE or len(varied) <= distance:
-        links, rest = [], np.arange(len(fps))
-        while len(rest):
-            queue, rest = [int(rest[0])], rest[1:]
-            while queue and len(rest):
-                here = queue.pop()
-                hit = near(fps[rest], fps[here], distance)
-                if hit.any():
-                    found = rest[hit].tolist()
-                    links += [(here, x) for x in found]
-                    queue += found
-                    rest = rest[~hit]
-        return links
-    links = []
-    # at most ``distance`` of the bytes that vary differ in a pair, so the first distance + 1 hold an equal one
-    for k in varied[: distance + 1]:
+    _, code, size = np.unique(joined.roots(group), return_inverse=True, return_counts=True)
+    rest = group[np.lexsort((code, size[code]))]
+    while len(rest) > 1:
+        roots = joined.roots(rest)
+        own = roots == roots[0]
+        front, rest = rest[own], rest[~own]
+        while len(front) and len(rest):
+            hit = np.zeros(len(rest), dtype=bool)
+            if len(front) <= len(rest):
+                for x in front.tolist():
+                    left = np.flatnonzero(~hit)
+                    new = left[linked(x, rest[left])] if len(left) else left
+                    joined.join(np.full(len(new), x), rest[new])
+                    hit[new] = True
+            else:
+                for k, x in enumerate(rest.tolist()):
+                    to = np.flatnonzero(linked(x, front))[:1]
+                    joined.join(np.full(len(to), x), front[to])
+                    hit[k] = len(to)
+            if hit.any():  # what was joined to them before comes along
+                hit = np.isin(joined.roots(rest), joined.roots(rest[hit]))
+            front, rest = rest[hit], rest[~hit]
+
+
+def parted(group: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """Parts of a large group so that any two within ``distance`` (under 8) are together in some part: those that differ in at most ``distance``
+    bytes of the ones that vary have an equal one among the first distance + 1."""
+    by_byte = np.ascontiguousarray(fp[group]).view(np.uint8).reshape(len(group), -1)
+    varied = np.flatnonzero((by_byte != by_byte[0]).any(axis=0))
+    if len(group) <= PAIRWISE or len(varied) <= distance:
+        yield group
+        return
+    for k in varied[: distance + 1].tolist():
         order = np.argsort(by_byte[:, k], kind="stable")
-        cuts = np.flatnonzero(np.diff(by_byte[order, k])) + 1
-        for part in np.split(order, cuts):
+        for part in np.split(group[order], np.flatnonzero(np.diff(by_byte[order, k])) + 1):
             if len(part) > 1:
-                links += [(int(part[a]), int(part[b])) for a, b in trees(fps[part], distance)]
-    return spanning(links)
-
-
-def across(fps: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links (as row numbers) between those of ``fps`` that have different labels."""
-    _, code, size = np.unique(label, return_inverse=True, return_counts=True)
-    # the most frequent label last: its members need no comparisons of their own
-    order = np.lexsort((code, size[code]))
-    starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
-    behind = np.repeat(np.append(starts[1:], len(fps)), np.diff(np.append(starts, len(fps))))
-    hits = [order[e + np.flatnonzero(near(fps[order[e:]], fps[i], distance))] for i, e in zip(order[: starts[-1]], behind, strict=False)]
-    return np.repeat(order[: starts[-1]], [len(h) for h in hits]), np.concatenate([np.zeros(0, np.int64), *hits])
-
-
-def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those of ``links`` that join what earlier ones haven't."""
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := top.get(x, x)) != x:
-            top[x] = x = top.get(y, y)
-        return x
-
-    out = []
-    for a, b in links:
-        if (x := root(a)) != (y := root(b)):
-            top[y] = x
-            out.append((a, b))
-    return out
+                yield from parted(part, fp, distance)
 
 
 def values_of(bits: np.ndarray) -> np.ndarray:
@@ -225,32 +237,33 @@ def values_of(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(bits.shape[-1], dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
 
 
-def dealt(fps: DataFrame, scheme: Scheme, cut: int = 0) -> DataFrame:
-    """(deal, node, f0 ..., label where ``fps`` has it): each fingerprint twice for each segment, dealt by its upper and by its lower half.
+def dealt(fps: DataFrame, scheme: Scheme, cut: int = 0, segments: range | None = None) -> DataFrame:
+    """(deal, and the columns of ``fps``): each fingerprint twice for each segment, dealt by its upper and by its lower half.
 
     A deletion variant leaves one half of the segment as it is, so all variants with the wildcard in the other half are made and
     joined where that half has brought the fingerprints together: width / 2 variants don't travel, one row does.
     """
-    lanes, segments, width, bits_of = scheme.lanes, scheme.segments, scheme.width, scheme.order(cut)
-    names = scheme.columns + [c for c in fps.columns if c == "label"]
+    lanes, width, bits_of = scheme.lanes, scheme.width, scheme.order(cut).reshape(scheme.segments, -1)
+    use = np.array(segments if segments is not None else range(scheme.segments))
+    names = scheme.columns + [c for c in fps.columns if c in ("size", "label")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(2 * segments, dtype=np.uint64) << np.uint64(32)
+        number = (2 * use[:, None] + np.arange(2)).astype(np.uint64) << np.uint64(32)
         for whole in batches:
             for start in range(0, whole.num_rows, FINGERPRINTS):
                 batch = whole.slice(start, FINGERPRINTS)
                 fps = np.stack([batch.column(1 + k).to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
-                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, bits_of].reshape(-1, segments, width)
+                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, bits_of[use]]
                 halves = np.stack([values_of(bits[:, :, width // 2 :]), values_of(bits[:, :, : width // 2])], axis=2)
-                deal = halves.reshape(len(fps), -1) + number
-                rows = [pa.array(np.repeat(batch.column(k).to_numpy(), 2 * segments)) for k in range(batch.num_columns)]
+                deal = halves + number
+                rows = [pa.array(np.repeat(batch.column(k).to_numpy(), 2 * len(use))) for k in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(deal.reshape(-1).view(np.int64)), *rows], ["deal", "node", *names])
 
     return fps.select("node", *names).mapInArrow(run, "deal long, node long, " + ", ".join(f"{c} long" for c in names))
 
 
-def met(deal: np.ndarray, fp: np.ndarray, scheme: Scheme, cut: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each wildcard the rows that share a deletion variant of a segment: pairs (n, 2), and larger groups."""
+def variants(deal: np.ndarray, fp: np.ndarray, scheme: Scheme, cut: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each wildcard the rows that share a deletion variant of a segment with others: groups one after the other, and their sizes."""
     bits_of, half = scheme.order(cut).reshape(scheme.segments, scheme.width), scheme.width // 2
     code = deal >> np.uint64(32)
     for c in np.unique(code):
@@ -265,143 +278,260 @@ def met(deal: np.ndarray, fp: np.ndarray, scheme: Scheme, cut: int) -> Iterator[
             key = key[order]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(starts, len(key)))
-            two = starts[sizes == 2]
-            more = [rows[order[s : s + n]] for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
-            yield np.stack([rows[order[two]], rows[order[two + 1]]], axis=1), more
+            yield rows[order[np.repeat(sizes > 1, sizes)]], sizes[sizes > 1]
+
 
+def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0, segments: range | None = None) -> DataFrame:
+    """(a, b): pairs of nodes that join all that one cut's segments link.
 
-def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0) -> DataFrame:
-    """(a, b), a < b: nodes of fingerprints that one cut's segments link. Small groups under a variant give all their links; a large one gives a
-    forest of them, which joins all that its links join, so no group emits more than some links per member.
+    ``fps`` (node, f0 ..., size and label where there are such columns) has each fingerprint once. Two of them link if they share a deletion variant and differ in
+    at most ``distance`` bits (and, where links must be similar, their sizes allow the similarity). Each task gives a spanning set of the links under all its
+    keys, fewer than it has fingerprints, however many there are in a group. With a column ``label`` those with the same label
+    count as joined before, and a and b are labels.
 
-    ``fps`` (node, f0 ...) has each fingerprint once. Where links must also be similar, a forest may join by links that aren't: then each member of a tree
-    that leaves links out is given as (a, a). With a column ``label``, all links between different labels are given, whatever the size of a group.
+    Deals with more than DEAL fingerprints are split into blocks, of which each two meet in a task: the deals that can be large are 2 x segments x 2^(half
+    of the width) at most, so the table of their counts has a bound.
     """
-    distance, labelled, marked = scheme.distance, "label" in fps.columns, scheme.similarity is not None
+    distance, labelled, sized = scheme.distance, "label" in fps.columns, "size" in fps.columns
+    lanes, similar_ = scheme.lanes, scheme.similarity or 0.0
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        held = [[batch.column(k).to_numpy() for k in range(1 + 1 + lanes + sized + labelled)] for batch in batches if batch.num_rows]
         if not held:
             return
-        deal, node, *lanes = (np.concatenate(c) for c in zip(*held, strict=True))
-        # by node, so that a forest doesn't depend on the order in which rows arrive
-        order = np.argsort(node, kind="stable")
-        deal, node = deal[order], node[order]
-        label = lanes.pop()[order] if labelled else None
-        fp = np.stack(lanes, axis=1)[order].view(np.uint64)
-        del held, lanes
-        both, first, second, size = np.zeros((0, 2), np.int64), [], [], 0
-
-        def merged() -> np.ndarray:
-            """The same two meet under many variants of a segment that they have in common."""
-            a, b = node[np.concatenate([np.zeros(0, np.int64), *first])], node[np.concatenate([np.zeros(0, np.int64), *second])]
-            first.clear(), second.clear()
-            return np.unique(np.concatenate([both, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)]), axis=0)
-
-        for two, more in met(deal.view(np.uint64), fp, scheme, cut):
-            two = two[near(fp[two[:, 0]], fp[two[:, 1]], distance)]
-            if labelled:
-                two = two[label[two[:, 0]] != label[two[:, 1]]]
-            found = [(two[:, 0], two[:, 1])]
-            for group in more:
-                if labelled:
-                    if (label[group] != label[group[0]]).any():
-                        x, y = across(fp[group], label[group], distance)
-                        found.append((group[x], group[y]))
-                elif pairs := trees(fp[group], distance):
-                    x, y = np.array(pairs).T
-                    found.append((group[x], group[y]))
-                    if marked and len(group) > ALL_LINKS:
-                        # a tree of one link leaves none out
-                        hub = np.flatnonzero(np.bincount(np.concatenate([x, y])) > 1)
-                        some = np.unique(np.concatenate([x, y])[np.tile(np.isin(x, hub) | np.isin(y, hub), 2)])
-                        found.append((group[some], group[some]))
-            for x, y in found:
-                first.append(x), second.append(y)
-                size += len(x)
-            if size >= LINKS:
-                both, size = merged(), 0
-        both = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)], ["a", "b"])
-
-    rows = fps.count() * scheme.segments * 2
-    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
-    return dealt(fps, scheme, cut).repartition(tasks, "deal").mapInArrow(probe, "a long, b long").distinct()
-
-
-def all_links(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """The links of all cuts."""
-    edges = links(fps, scheme)
-    if scheme.cuts > 1 or scheme.similarity is not None:
-        edges = C.cut(edges)
-        for cut in range(1, scheme.cuts):
-            C.tidy(fps.sparkSession)
-            edges = C.cut(edges.union(links(fps, scheme, cut)).distinct())
-        C.tidy(fps.sparkSession)
-    return edges
+        deal, node, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+        del held
+        node, first, who = np.unique(node, return_index=True, return_inverse=True)
+        fp = np.stack([c[first] for c in rest[:lanes]], axis=1).view(np.uint64)
+        size = rest[lanes][first] if sized else None
+        label = rest[-1][first] if labelled else node
+        del rest
+        joined = Joined(label)
+
+        def near(a, b) -> np.ndarray:
+            found = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=-1) <= distance
+            return found & (np.minimum(size[a], size[b]) >= similar_ * np.maximum(size[a], size[b])) if sized else found
+
+        for rows, sizes in variants(deal.view(np.uint64), fp[who], scheme, cut):
+            places, ends = who[rows], np.cumsum(sizes)
+            last = np.repeat(ends, sizes)
+            at, step = np.flatnonzero(np.repeat(sizes <= FEW, sizes)), 1
+            while len(at := at[at + step < last[at]]):
+                a, b = places[at], places[at + step]
+                apart = joined.roots(a) != joined.roots(b)
+                a, b = a[apart], b[apart]
+                hit = near(a, b)
+                joined.join(a[hit], b[hit])
+                step += 1
+            for end, n in zip(ends[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                group = np.unique(places[end - n : end])
+                if len(np.unique(joined.roots(group))) > 1:
+                    for part in parted(group, fp, distance) if distance < 8 else [group]:
+                        grow(part, near, joined)
+        found = label[np.array(joined.links, dtype=np.int64).reshape(-1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(2)], ["a", "b"])
+
+    spark, count = fps.sparkSession, fps.count()
+    every = dealt(fps, scheme, cut, segments)
+    keys, rows = ["deal"], count * 2 * len(segments if segments is not None else range(scheme.segments))
+    if count > DEAL:
+        hot = C.cut(every.groupBy("deal").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("blocks")).filter("blocks > 1"))
+        if hot.limit(1).count():
+            own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+            met = every.join(F.broadcast(hot), "deal", "left").withColumn("own", F.coalesce(own, F.lit(0)))
+            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+            every = met.select(*every.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+            keys = ["deal", "lo", "hi"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+    return every.repartition(tasks, *keys).mapInArrow(probe, "a long, b long")
+
+
+def candidates(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(node, label) of the nodes that links of any cut lead to or from: those that chains of links join have the same label, the smallest node.
+
+    The first two segments come first: what they join is joined for the others, so a group of near copies gives its links once and not for each segment.
+    """
+    first = C.cut(components(links(fps, scheme, 0, range(2))))
+    if scheme.segments * scheme.cuts <= 2:
+        return first
+    at = F.coalesce("label", "node")
+    fps = C.cut(fps.join(first, "node", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", at))
+    edges = [C.cut(links(fps.drop("linked"), scheme, cut, range(0 if cut else 2, scheme.segments))) for cut in range(scheme.cuts)]
+    more = components(reduce(DataFrame.union, edges)).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    found = fps.select("node", "label", "linked").join(more, "label", "left").filter(F.col("linked") | F.col("least").isNotNull())
+    return C.cut(found.select("node", F.coalesce("least", "label").alias("label")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links lead to, for every node of ``edges`` (a, b).
 
-    Alternates large-star and small-star rounds, each cut by a checkpoint, until nothing changes: the rounds grow
-    with the logarithm of the nodes, and no task holds more than its share of the links.
+    Alternates large-star and small-star rounds, each cut by a checkpoint, until nothing changes; the rounds grow
+    with the logarithm of the nodes. A node with more than ``hub`` links isn't joined by a shuffle: as there are 2 x links / hub of
+    them at most, which is HUBS or fewer, they are broadcast.
     """
     edges = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = None
+    state, total = None, edges.count()
+
+    def met(rows: DataFrame, least: DataFrame) -> DataFrame:
+        hub = max(HUBS, 2 * total // HUBS)
+        if total <= hub:
+            return rows.join(least, "u")
+        hubs = F.broadcast(C.cut(least.filter(F.col("n") > hub)))
+        return rows.join(hubs, "u").union(rows.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= hub), "u"))
+
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        moved = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = met(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = met(large, down).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = C.cut(moved.filter("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
+        total, *now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (total, now) == state:
             break
-        state = now
+        state = (total, now)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.union(nodes.select(F.col("label").alias("node"), "label").distinct())
 
 
-def similar(edges: DataFrame, distinct: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """The links whose two texts share ``scheme.similarity`` of their shingles: the sets of the linked texts only are made and compared.
-
-    ``distinct`` (node, first.k1, first.k2) names a row of ``texts`` (k1, k2, text) for each node.
+def overlaps(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of a place and others: how many shingles its set shares with each of theirs. Only shingles of two sets or more are looked at."""
+    sizes = np.array([len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    column = (np.cumsum(count > 1) - 1)[code[shared]]
+    row = np.repeat(np.arange(len(sets)), sizes)[shared]
+    columns = int((count > 1).sum())
+    if len(sets) * columns <= BITMAP:
+        width = -(-max(columns, 1) // 64)
+        bits = np.zeros((len(sets), width), dtype=np.uint64)
+        np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+        return lambda x, others: np.bitwise_count(bits[others] & bits[x]).sum(axis=-1, dtype=np.int64)
+    # too wide for bits: for each shingle the sets that have it
+    own = np.append(np.searchsorted(row, np.arange(len(sets))), len(row))
+    order = np.argsort(column, kind="stable")
+    first = np.append(np.searchsorted(column[order], np.arange(columns)), len(order))
+    holders = row[order]
+
+    def count_of(x: int, others: np.ndarray) -> np.ndarray:
+        mine = column[own[x] : own[x + 1]]
+        start, size = first[mine], first[mine + 1] - first[mine]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(holders[at], minlength=len(sets))[others]
+
+    return count_of
+
+
+def refined(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links between nodes with the same ``key`` whose shingle sets have the scheme's similarity, computed exactly; enough to join all that such links join.
+
+    ``rows``: (key, node, part, text); nodes of one part count as joined. A task holds the rows of one key at a time.
     """
-    words = scheme.words
+    words, share = scheme.words, Fraction(str(scheme.similarity))
+
+    def joined_in(nodes: list[int], part: list[int], texts: list[str | None]) -> np.ndarray:
+        nodes, first = np.unique(np.array(nodes, dtype=np.int64), return_index=True)
+        joined = Joined(np.array(part, dtype=np.int64)[first])
+        if len(np.unique(joined.top)) > 1:
+            sets = [np.unique(np.array(shingles(texts[k], words), dtype=np.uint64)) for k in first.tolist()]
+            sizes, shared = np.array([len(s) for s in sets]), overlaps(sets)
+
+            def linked(x: int, others: np.ndarray) -> np.ndarray:
+                both = shared(x, others)
+                return share.denominator * both >= share.numerator * (sizes[x] + sizes[others] - both)
+
+            grow(np.arange(len(nodes)), linked, joined)
+        return nodes[np.array(joined.links, dtype=np.int64).reshape(-1, 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, ([], [], []), []
+
+        def given(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)], ["a", "b"])
+
         for batch in batches:
-            sets = [np.unique(np.array(shingles(t, words), dtype=np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
+            keys = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=False):
+                if key is not None and keys[a] != key:
+                    out.append(joined_in(*held))
+                    held = ([], [], [])
+                key = keys[a]
+                for k, own in enumerate(held):
+                    own += batch.column(1 + k).slice(a, b - a).to_pylist()
+            if len(out) >= FINGERPRINTS:
+                yield given(out)
+                out = []
+        yield given([*out, joined_in(*held)])
+
+    C.text_batches(rows.sparkSession)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("key", "node", "part", "text").repartition(tasks, "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def block_of(blocks: Column) -> Column:
+    """One of ``blocks`` blocks for a node."""
+    return F.pmod(F.xxhash64("node", F.lit(2)), blocks)
+
 
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    asked = nodes.join(distinct.select("node", "first.k1", "first.k2"), "node")
+def blocks_for(shingles_: Column) -> Column:
+    return F.greatest(F.ceil(shingles_ / BLOCK), F.lit(1)).cast("long")
+
+
+def with_parts(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``part`` replaced by that of the component of ``edges`` that it is in."""
+    found = components(edges).select(F.col("node").alias("part"), F.col("label").alias("__to"))
+    return rows.join(found, "part", "left").withColumn("part", F.coalesce("__to", "part")).drop("__to")
+
+
+def verified(blobs: DataFrame, distinct: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links that have the scheme's similarity and join all nodes with the same label that such links join.
+
+    ``blobs`` (node, label): the nodes that candidate links join. Their texts are brought together by label, in blocks of BLOCK shingles, and compared exactly; a label that fits into one
+    block is done then. Of a larger one, first each block is joined, then one node of each part; then the largest part meets all others in pairs of blocks, and the
+    others each other. A group that verified links join stays linear in its members; the more of it no such link joins, the more pairs of blocks are compared, none is left out.
+    """
+    nodes = distinct.select("node", "size", "first.k1", "first.k2").join(blobs, "node")
+    total = C.cut(nodes.groupBy("label").agg(blocks_for(F.sum("size")).alias("blocks")))
+    nodes = nodes.join(total, "label").select("node", "label", "size", "blocks", "k1", "k2")
     # rows that repeat have the same keys and the same text
-    sets = C.stored(texts.join(asked, ["k1", "k2"]).select("node", "text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"]))
-    met = edges.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    whole = F.size("x") + F.size("y") - common
-    return met.filter((whole == 0) | (common >= scheme.similarity * whole)).select("a", "b")
+    own = C.stored(texts.join(nodes, ["k1", "k2"]).select("node", "label", "size", "blocks", "text").dropDuplicates(["node"]))
+    edges = C.cut(refined(own.filter("blocks = 1").select(F.col("label").alias("key"), "node", F.col("node").alias("part"), "text"), scheme))
+    if total.filter("blocks > 1").limit(1).count() == 0:
+        return edges
+    large = own.filter("blocks > 1")
+    state = large.select("node", "label", "size", F.col("node").alias("part"))
+    inside = C.cut(refined(large.select(F.xxhash64("label", block_of(F.col("blocks"))).alias("key"), "node", F.col("node").alias("part"), "text"), scheme))
+    state = C.cut(with_parts(state, inside))
+    one = C.cut(state.groupBy("label", "part").agg(F.min(F.struct("node", "size")).alias("one")).select("label", "part", "one.node", "one.size"))
+    few = one.groupBy("label").agg(blocks_for(F.sum("size")).alias("few"))
+    ones = one.join(few, "label").select("node", "part", F.xxhash64("label", block_of(F.col("few"))).alias("key"))
+    across = C.cut(refined(ones.join(large.select("node", "text"), "node"), scheme))
+    state = C.cut(with_parts(state, C.cut(across.join(state.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(state.select(F.col("node").alias("b"), F.col("part").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))))
+    parts = state.groupBy("label", "part").agg(F.sum("size").alias("size"))
+    main = parts.groupBy("label").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    main = C.cut(main.select("label", "main", blocks_for(F.col("most")).alias("mains"), blocks_for(F.col("all") - F.col("most")).alias("others")))
+    rows = state.join(main, "label").withColumn("other", F.col("part") != F.col("main"))
+    rows = rows.withColumn("at", F.when(F.col("other"), block_of(F.col("others"))).otherwise(block_of(F.col("mains"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_main = F.transform(upto("mains"), lambda i: F.xxhash64("label", F.lit(0), i, F.col("at")))
+    with_others = F.transform(upto("others"), lambda j: F.xxhash64("label", F.lit(1), F.least(j, F.col("at")), F.greatest(j, F.col("at"))))
+    of_main = F.transform(upto("others"), lambda j: F.xxhash64("label", F.lit(0), F.col("at"), j))
+    rows = rows.select("node", "part", F.explode(F.when(F.col("other"), F.concat(with_main, with_others)).otherwise(of_main)).alias("key"))
+    last = C.cut(refined(rows.join(large.select("node", "text"), "node"), scheme))
+    return edges.union(inside).union(across).union(last)
 
 
 def grouped(rows: DataFrame, scheme: Scheme, texts: DataFrame | None = None) -> DataFrame:
     """(node, least): of each distinct fingerprint of ``rows`` the least row of its component, as (none, id, k1, k2)."""
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
-    distinct = C.cut(rows.groupBy("node", *scheme.columns).agg(F.min(row).alias("first")))
-    fps = distinct.select("node", *scheme.columns)
-    edges = all_links(fps, scheme)
+    own = [*scheme.columns, *["size"] * (scheme.similarity is not None)]
+    distinct = C.cut(rows.groupBy("node", *own).agg(F.min(row).alias("first")))
+    labels = candidates(distinct.select("node", *own), scheme)
     if scheme.similarity is not None:
-        left_out = C.cut(edges.filter("a = b").select(F.col("a").alias("node")))
-        edges = C.cut(similar(edges.filter("a <> b"), distinct, texts, scheme))
-        if left_out.limit(1).count():
-            # what a forest left out is compared too, unless links that hold join it already
-            parts = components(edges)
-            fps = C.cut(fps.join(left_out, "node").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")))
-            edges = C.cut(edges.union(similar(all_links(fps, scheme), distinct, texts, scheme)))
-    labels = components(edges)
+        labels = components(verified(labels, distinct, texts, scheme))
     of = C.cut(distinct.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
     least = of.groupBy("label").agg(F.min("first").alias("least"))
     return of.join(least, "label").select("node", "least")
@@ -422,12 +552,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = WIDE) -> DataFrame:
-    """The rows of ``df``, all columns, without near duplicates: of each component the row with the smallest id stays."""
+    """The rows of ``df``, all columns whatever their names, without near duplicates: of each component the row with the smallest id stays (a null id is the
+    largest). Null and wordless texts have the same shingles, none, and are duplicates of each other; of rows that repeat one stays. An empty table gives no rows."""
     rows = C.cut(fingerprints(df, id_col, text_col, scheme))
     texts = df.select(*C.row_keys(id_col, text_col), F.col(text_col).alias("text"))
-    kept = C.cut(grouped(rows, scheme, texts).select("least.k1", "least.k2").distinct())
-    C.tidy(df.sparkSession)
-    return C.keep_rows(df, kept, id_col, text_col)
+    kept = grouped(rows, scheme, texts).select("least.k1", "least.k2").distinct()
+    return C.keep_rows(df, kept, rows, id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
