@@ -59,6 +59,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_keys(id_col: str, text_col: str) -> list[Column]:
     """128 bits of a row's id and text, nulls told apart: rows that agree in both are copies of the same row."""
     parts = [x for c in (id_col, text_col) for x in (F.col(c).isNull(), F.col(c))]

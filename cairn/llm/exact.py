@@ -40,7 +40,9 @@ def tree_merge(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     while last:
         last //= fan_in
         runs = runs.withColumn("__run", F.floor(F.col("__run") / fan_in).cast("int"))
-        runs = runs.groupBy("__run", *key).agg(F.min("__best").alias("__best"), F.sum("__rows").alias("__rows"))
+        dealt = runs.repartition("__run", *key).sortWithinPartitions("__run", *key)
+        # grouped as dealt and sorted: rows that follow each other are merged, nothing is moved again
+        runs = dealt.groupBy("__run", *key).agg(F.min("__best").alias("__best"), F.sum("__rows").alias("__rows"))
     return runs.select(*key, "__best", "__rows")
 
 

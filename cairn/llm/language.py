@@ -19,6 +19,8 @@ DOCUMENT_GRAMS, PROFILE_GRAMS, SAMPLE_DOCS = 300, 400, 2000
 MOST_LANGS = 10_000
 #: Documents and characters that are counted together: both bound memory.
 CHUNK_DOCS, CHUNK_CHARS = 1 << 12, 1 << 18
+#: Entries of a table of documents by languages.
+TABLE = 1 << 21
 UNKNOWN = "und"
 POINT, EDGE = np.uint64(21), 1
 
@@ -138,10 +140,20 @@ def predictor(profiles: dict[str, list[int]], document_grams: int = DOCUMENT_GRA
     """A function from texts to (language, score): the nearest profile by out-of-place distance."""
     langs = sorted(profiles)
     worst = max(map(len, profiles.values()), default=0)
-    known = np.unique(np.array([g for own in profiles.values() for g in own], dtype=np.uint64))
-    place = np.full((len(langs), len(known) + 1), -1, dtype=np.int64)
-    for i, lang in enumerate(langs):
-        place[i, np.searchsorted(known, np.array(profiles[lang], dtype=np.uint64))] = np.arange(len(profiles[lang]))
+    # for each n-gram the languages that have it and its rank there: as many entries as the profiles have
+    gram_of = np.array([g for lang in langs for g in profiles[lang]], dtype=np.uint64)
+    lang_of = np.repeat(np.arange(len(langs)), [len(profiles[lang]) for lang in langs])
+    rank_of = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(profiles[lang])) for lang in langs]])
+    order = np.argsort(gram_of, kind="stable")
+    gram_of, lang_of, rank_of = gram_of[order], lang_of[order], rank_of[order]
+
+    def saved(doc: np.ndarray, gram: np.ndarray, rank: np.ndarray, docs: int) -> np.ndarray:
+        """(docs, languages): how far each distance is below that of a text without a common n-gram."""
+        low, high = np.searchsorted(gram_of, gram), np.searchsorted(gram_of, gram, side="right")
+        size = high - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        less = worst - np.minimum(np.abs(rank_of[at] - np.repeat(rank, size)), worst)
+        return np.bincount(np.repeat(doc, size) * len(langs) + lang_of[at], less, docs * len(langs)).reshape(docs, len(langs))
 
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -149,17 +161,17 @@ def predictor(profiles: dict[str, list[int]], document_grams: int = DOCUMENT_GRA
             return names, scores
         for start, some in chunks(texts):
             owner, gram, rank = ranked(*gram_counts(some), document_grams)
-            if not len(owner):
-                continue
-            at = np.searchsorted(known, gram)
-            at[known[np.minimum(at, len(known) - 1)] != gram] = len(known)
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            size = np.diff(np.append(first, len(owner)))
-            far = np.stack([np.add.reduceat(np.where(p[at] < 0, worst, np.minimum(np.abs(p[at] - rank), worst)), first) for p in place])
-            best = far.argmin(axis=0)
-            near = 1.0 - far[best, np.arange(len(first))] / (size * worst)
-            for k, doc in enumerate(owner[first]):
-                names[start + doc], scores[start + doc] = langs[best[k]], float(near[k])
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(owner)).astype(np.int64)
+            step = max(1, TABLE // len(langs))
+            for a in range(0, len(first), step):
+                b = min(a + step, len(first))
+                rows, size = slice(first[a], ends[b - 1]), ends[a:b] - first[a:b]
+                less = saved(np.repeat(np.arange(b - a), size), gram[rows], rank[rows], b - a)
+                best = less.argmax(axis=1)
+                near = 1.0 - (size * worst - less[np.arange(b - a), best]) / (size * worst)
+                for k, doc in enumerate(owner[first[a:b]]):
+                    names[start + doc], scores[start + doc] = langs[best[k]], float(near[k])
         return names, scores
 
     return predict
@@ -186,9 +198,11 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
 
 
 def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` whose text is in a language that its own labels teach; the others (``und``) go."""
-    found = identify(df, learn(df, id_col, text_col, lang_col), text_col, "__lang_pred", "__score")
-    return found.filter(F.col("__lang_pred") != UNKNOWN).drop("__lang_pred", "__score")
+    """The rows of ``df``, all columns whatever their names, whose text is in a language that its own labels teach. Texts that are null or have no letter (``und``) go, and all rows go
+    if no label teaches a language; a text in another language is given the nearest one that is taught and stays. Rows that repeat stay; an empty table gives none."""
+    lang, score = C.fresh(df, "lang_pred"), C.fresh(df, "score")
+    found = identify(df, learn(df, id_col, text_col, lang_col), text_col, lang, score)
+    return found.filter(C.column(lang) != UNKNOWN).drop(lang, score)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,21 +141,23 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix as rows like those of ``df``: for each row and epoch, the text of the words that the mix takes there.
 
     A text keeps the white space in front of its words. A row of which the mix takes nothing in an epoch gives no row
-    for it. ``length_col``, where ``df`` has it, becomes the new text's code points; other columns stay as they are.
+    for it, so null and wordless texts give none, nor does an empty table; rows that repeat are mixed each for itself. ``length_col``, where ``df`` has it, becomes the new
+    text's code points; other columns stay as they are, whatever their names.
     """
-    kept = C.stored(df.withColumn("__row", F.monotonically_increasing_id()))
-    plan = mix(kept, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__row")
+    own = lambda c: f"row.`{c.replace('`', '``')}`"
+    kept = C.stored(df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[C.column(c) for c in df.columns]).alias("row")))
+    plan = mix(kept, id_col=own(id_col), text_col=own(text_col), source_col=own(source_col), row_col="__row")
     met = parts(plan.rows).select("__key", "block", "__row", "__from", "__words").join(plan.slots.select("__key", "block", "epoch"), ["__key", "block"])
     cuts = met.groupBy("__row", "epoch").agg(F.array_sort(F.collect_list(F.struct(F.col("__from").alias("f"), F.col("__words").alias("w")))).alias("__cuts"))
     cuts = cuts.groupBy("__row").agg(F.collect_list(F.struct("epoch", "__cuts")).alias("__epochs"))
-    tokens = F.regexp_extract_all(text_col, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    tokens = F.regexp_extract_all(F.col(own(text_col)), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
 
     def texts(t: Column) -> Column:
         return F.transform("__epochs", lambda e: F.array_join(F.flatten(F.transform(e["__cuts"], lambda c: F.slice(t, (c["f"] + 1).cast("int"), c["w"].cast("int")))), ""))
 
     # the tokens are a lambda's argument, so that they are made once for all cuts of a row
     out = kept.join(cuts, "__row").withColumn("__text", F.explode(F.element_at(F.transform(F.array(tokens), texts), 1)))
-    columns = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == length_col else F.col(c) for c in df.columns]
+    columns = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == length_col else F.col(own(c)).alias(c) for c in df.columns]
     return out.select(*columns)
 
 

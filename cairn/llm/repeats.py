@@ -46,6 +46,26 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def window_digests(words: list[bytes], starts: np.ndarray, size: int) -> np.ndarray:
+    """128 bits, as two numbers, of the words themselves of the windows at ``starts``: (len(starts), 2)."""
+    from xxhash import xxh3_128_digest
+
+    line = b" ".join(words)
+    edges = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    places = zip(edges[starts].tolist(), (edges[starts + size] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join(xxh3_128_digest(line[a:b]) for a, b in places), dtype=np.uint64).reshape(-1, 2)
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The order of rows of numbers."""
+    return np.argsort(keys[:, 0]) if keys.shape[1] == 1 else np.lexsort(keys.T[::-1])
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts."""
+    return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
+
+
 def spread(n: int, starts: np.ndarray, back: int, ahead: int) -> np.ndarray:
     """A mask of n places that is set from ``back`` before to ``ahead`` after (exclusive) each of ``starts``."""
     change = np.zeros(n + 1, dtype=np.int64)
@@ -65,20 +85,20 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys; those of 32 bits by their differences."""
-    return planes(np.diff(keys, prepend=keys.dtype.type(0))) if keys.itemsize == 4 else planes(keys)
+    """Ascending keys, rows of numbers; those of 32 bits by their differences."""
+    return planes(np.diff(keys[:, 0], prepend=keys.dtype.type(0))) if keys.itemsize == 4 else planes(np.ascontiguousarray(keys).reshape(-1))
 
 
 def unpacked_keys(data: bytes, kind: type) -> np.ndarray:
     keys = from_planes(data, kind)
-    return np.cumsum(keys, dtype=kind) if np.dtype(kind).itemsize == 4 else keys
+    return np.cumsum(keys, dtype=kind)[:, None] if np.dtype(kind).itemsize == 4 else keys.reshape(-1, 2)
 
 
 def packer(size: int, slices: int, anchored: bool) -> Callable:
     """Hashes windows of ``size`` words and deals them, packed, to ``slices`` by hash.
 
     Takes batches (k1, k2, text) or, not ``anchored``, (k1, k2, text, places): then only windows of ``size`` words that
-    contain an anchor at one of the places count. Documents are gathered to BATCH_WORDS words. For each slice a batch
+    contain an anchor at one of the places count, and their keys are 128 bits made of the words themselves: hashes of hashes only find candidates. Documents are gathered to BATCH_WORDS words. For each slice a batch
     gives one row with a hash's key and one of its places; further places of the same hash stay in the batch's own row (``same``),
     so a passage that very many documents share gives each slice one entry per batch only. A place is
     a word's number in the batch, followed by two bits: it occurs again in the batch; one of its occurrences is an anchor block.
@@ -87,20 +107,23 @@ def packer(size: int, slices: int, anchored: bool) -> Callable:
     def emit(held: list[tuple], ordinal: list[int]) -> pa.RecordBatch:
         from xxhash import xxh64_intdigest
 
-        lengths = np.array([len(h[2]) for h in held], dtype=np.int64)
+        lengths = np.array([h[2] for h in held], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         k1, k2 = np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64)
         batch = xxh64_intdigest(k1.tobytes() + k2.tobytes(), ordinal[0]) >> 2
         ordinal[0] += 1
-        hashes = window_hashes(np.concatenate([h[2] for h in held]), size)
-        place = np.concatenate([np.arange(s, max(s, s + n - size + 1)) if anchored else s + h[3] for s, n, h in zip(starts, lengths, held, strict=True)])
-        hashes = hashes[place]
-        slot = ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-        # anchors: 32 bits beside the slice's number are enough to find candidates; later windows keep all 64
-        key = (slot << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF)) if anchored else hashes
-        order = np.argsort(key)
+        if anchored:
+            place = np.concatenate([np.arange(s, max(s, s + n - size + 1)) for s, n in zip(starts, lengths, strict=True)])
+            key = window_hashes(np.concatenate([h[3] for h in held]), size)[place][:, None]
+        else:
+            place = np.concatenate([s + h[4] for s, h in zip(starts, held, strict=True)])
+            key = np.concatenate([h[3] for h in held])
+        slot = ((key[:, 0] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+        if anchored:  # 32 bits beside the slice's number are enough to find candidates
+            key = (slot[:, None] << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+        order = order_of(key)
         key, slot, place = key[order], slot[order], place[order].astype(np.uint32)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        first = firsts(key)
         count = np.diff(np.append(first, len(key)))
         anchor = np.ones(len(key), dtype=bool)
         if anchored:
@@ -125,15 +148,16 @@ def packer(size: int, slices: int, anchored: bool) -> Callable:
         for batch in batches:
             for scalars in zip(*batch.columns, strict=True):  # a row at a time: texts are long
                 row = [v.as_py() for v in scalars]
-                own = word_hashes(words_of(row[2]))
-                if len(own) < WINDOW:
+                words = words_of(row[2])
+                if len(words) < WINDOW:
                     continue
-                starts = None
-                if not anchored:
-                    mask = spread(len(own), np.frombuffer(row[3], dtype=np.uint32).astype(np.int64), WINDOW - BLOCK, 1)
-                    starts = np.flatnonzero(mask[: len(own) - size + 1])
-                held.append((row[0], row[1], own, starts))
-                total += len(own)
+                if anchored:
+                    held.append((row[0], row[1], len(words), word_hashes(words)))
+                else:
+                    mask = spread(len(words), np.frombuffer(row[3], dtype=np.uint32).astype(np.int64), WINDOW - BLOCK, 1)
+                    starts = np.flatnonzero(mask[: len(words) - size + 1])
+                    held.append((row[0], row[1], len(words), window_digests(words, starts, size), starts))
+                total += len(words)
                 if total >= BATCH_WORDS:
                     yield emit(held, ordinal)
                     held, total = [], 0
@@ -154,12 +178,13 @@ def matcher(anchored: bool) -> Callable:
         filled = [i for i, k in enumerate(keys) if k is not None]
         rows = [(int(batches[i]), None, *(table.column(c)[i].as_py() for c in names[2:])) for i, k in enumerate(keys) if k is None]
         if filled:
-            key = np.concatenate([unpacked_keys(keys[i], kind) for i in filled])
+            own = [unpacked_keys(keys[i], kind) for i in filled]
+            key = np.concatenate(own)
             mark = np.concatenate([from_planes(places[i], np.uint32) for i in filled])
-            row = np.repeat(np.array(filled, dtype=np.int32), [len(keys[i]) // kind().itemsize for i in filled])
-            order = np.argsort(key)
+            row = np.repeat(np.array(filled, dtype=np.int32), [len(k) for k in own])
+            order = order_of(key)
             key, mark, row = key[order], mark[order], row[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = firsts(key)
             count = np.diff(np.append(first, len(key)))
             bits = np.bitwise_or.reduceat(mark, first)
             good = ((count > 1) | (bits & 2 > 0)) & (bits & 1 > 0)
@@ -230,7 +255,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Non-overlapping blocks of 18 words are the index; every rolling window of 18 words of every document probes it.
     Each hit is extended to the 35-word windows around it, of which those that repeat exactly are kept: together they
-    are the maximal exact repeats. Windows are judged on the input, so all copies of a passage go.
+    are the maximal exact repeats. Whether a window repeats is judged by 128 bits of its words, never by the hashes that found it. Windows are judged on the input, so all copies of a passage go.
 
     Returns (id, n_words, n_removed, spans, text) of every row: spans of removed words (from 0, end exclusive), and the
     kept words joined by one space. Null and empty texts have no words. A row that repeats repeats all its windows. An

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,20 @@ ENCODINGS = (
     ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
     ("base36", "^[0-9a-z]+$", DIGITS + LOWER),
     ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER),
+    ("base62", "^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("mixed", ".", UPPER + LOWER + DIGITS + "+/-_"),
 )
-#: False-discovery rate; where a test of the battery rejects randomness (two-sided 0.001); how much rarer structured text changes
-#: the class of characters than random text; steps of -log10 p, their number.
-RATE, REJECT, STRUCTURE, STEP, STEPS = 0.01, 3.29, 0.25, 16, 640
+#: Departures of structured text from randomness, at least: how far its symbols' shares are from uniform (the sum of (share - 1/k)^2 k), the correlation of
+#: neighbours, and how much of the random rate its class of characters changes at: that of 16 characters, more for each doubling (names of short words
+#: change theirs often; a short token says too little to be told from them), at most.
+UNEVEN, SERIAL = 1.25, 0.45
+STRUCTURE, MORE, STRUCTURE_MOST = 0.22, 0.15, 0.5
+#: Departures that a random text may have, as its encoding is only inferred, and where a test rejects randomness beyond them (two-sided 0.01).
+SLIGHT, REJECT = 0.1, 2.58
+#: False-discovery rate; steps of -log10 p, their number.
+RATE, STEP, STEPS = 0.01, 16, 640
 
 
 def class_shares(alphabet: str) -> list[float]:
@@ -39,12 +48,14 @@ def class_shares(alphabet: str) -> list[float]:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """(token, encoding, n, z_chi, z_runs, z_serial, p_structure) of each distinct token.
+    """(token, encoding, n, z_chi, z_runs, z_serial, p_chi, p_runs, p_serial, p) of each distinct token.
+
+    Three tests on the encoding inferred: chi-squared of the symbols' counts against uniformity; runs of characters of one class (lower case, upper case, digit, other); lag-1
+    correlation of the symbols' values. The z say how far the text is from random, beyond a SLIGHT departure, in standard deviations for its length. The p are bounds on the
+    chance that structured text (UNEVEN, STRUCTURE, SERIAL) of this length looks as random as this one: for the runs the binomial tail by its first term, for the others
+    a normal one. ``p`` combines them by Fisher's method: what tells little at a length adds little.
 
-    z_chi: chi-squared of the symbols' counts against uniformity in the inferred encoding, normalised by its mean and variance for n
-    symbols. z_runs: runs of characters of one class (lower case, upper case, digit, other) against those of random text. z_serial: lag-1
-    correlation of the symbols' values. p_structure: a bound (Chernoff) on the chance that a text whose class changes at a STRUCTURE-th of the random rate
-    has as many runs.
+    Memory grows with a token's length (its characters' values are an array), which is no more than that of its text.
     """
 
     def pick(values: list) -> Column:
@@ -64,48 +75,66 @@ def battery(tokens: DataFrame) -> DataFrame:
     def total(array: Column) -> Column:
         return F.aggregate(array, F.lit(0.0), lambda t, v: t + v)
 
-    freedom = F.col("__k") - 1
-    chi = F.col("__k") / F.col("n") * total(F.transform("__count", lambda c: c.cast("double") * c)) - F.col("n")
+    n, freedom = F.col("n"), F.col("__k") - 1
+    chi = F.col("__k") / n * total(F.transform("__count", lambda c: c.cast("double") * c)) - n
     runs = F.regexp_count("__body", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")).cast("double")
-    q, q2 = F.col("__q"), pick(twice)
-    rows = rows.withColumn("__q", pick(change)).withColumn("__changes", runs - 1).withColumn("__pairs", F.col("n") - 1)
-    spread = F.col("__pairs") * q * (1 - q) + 2 * (F.col("__pairs") - 1) * (q2 - q * q)
+    q, q2, pairs, changes = F.col("__q"), pick(twice), F.col("__pairs"), F.col("__changes")
+    rows = rows.withColumn("__q", pick(change)).withColumn("__changes", runs - 1).withColumn("__pairs", n - 1)
+    spread = F.sqrt(pairs * q * (1 - q) + 2 * (pairs - 1) * (q2 - q * q))
     # sums of products of neighbours, and of squares, about the mean
     sums, ends = total(F.col("__v")), F.element_at("__v", 1) + F.element_at("__v", -1)
-    mean = sums / F.col("n")
+    mean = sums / n
     products = total(F.zip_with(F.slice("__v", F.lit(1), F.size("__v") - 1), F.slice("__v", F.lit(2), F.size("__v") - 1), lambda x, y: x * y))
-    together = products - mean * (2 * sums - ends) + F.col("__pairs") * mean * mean
-    alone = total(F.transform("__v", lambda v: v * v)) - F.col("n") * mean * mean
-    seen, rare = F.least(F.col("__changes") / F.col("__pairs"), F.lit(1 - 1e-9)), STRUCTURE * q
+    together = products - mean * (2 * sums - ends) + pairs * mean * mean
+    alone = total(F.transform("__v", lambda v: v * v)) - n * mean * mean
+    rows = rows.withColumn("__chi", chi - freedom).withColumn("__r", F.when(alone > 1e-9, F.abs(together / alone)).otherwise(F.lit(1.0)))
+
+    def above(excess: Column, slight: float) -> Column:
+        return (F.col("__chi") - excess * slight) / F.sqrt(2 * freedom * pairs / n + 4 * excess * slight)
+
+    def tail(z: Column) -> Column:
+        """The normal distribution function: a logistic curve, and far below a bound on it."""
+        far = F.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * -z)
+        return F.when(z < -2, far).otherwise(1 / (1 + F.exp(-(1.5976 * z + 0.070565 * z * z * z))))
+
+    share = F.least(F.lit(STRUCTURE_MOST), STRUCTURE + MORE * F.log2(n / 16))
+    seen, rare = F.least(changes / pairs, F.lit(1 - 1e-9)), share * q
     divergence = seen * F.log(seen / rare) + (1 - seen) * F.log((1 - seen) / (1 - rare))
-    return rows.select(
+    first = F.exp(-pairs * divergence)
+    term = first / F.sqrt(2 * math.pi * pairs * seen * (1 - seen)) * seen * (1 - rare) / (seen - rare)
+    p_runs = F.when(seen > rare, F.least(first, F.when(changes < pairs, term).otherwise(first))).otherwise(F.lit(1.0))
+    rows = rows.select(
         "token",
         pick([name for name, *_ in ENCODINGS]).alias("encoding"),
         "n",
-        ((chi - freedom) / F.sqrt(2 * freedom * (F.col("n") - 1) / F.col("n"))).alias("z_chi"),
-        ((F.col("__changes") - F.col("__pairs") * q) / F.sqrt(spread)).alias("z_runs"),
-        F.when(alone > 1e-9, together / alone * F.sqrt("n")).otherwise(F.lit(float("inf"))).alias("z_serial"),
-        F.when(seen > rare, F.exp(-F.col("__pairs") * divergence)).otherwise(F.lit(1.0)).alias("p_structure"),
+        above(n, SLIGHT).alias("z_chi"),
+        ((F.abs(changes - pairs * q) - SLIGHT * pairs * q) / spread).alias("z_runs"),
+        ((F.col("__r") - SLIGHT) * F.sqrt("n")).alias("z_serial"),
+        tail(above(pairs, UNEVEN)).alias("p_chi"),
+        p_runs.alias("p_runs"),
+        tail((F.col("__r") - SERIAL) * F.sqrt("n")).alias("p_serial"),
     )
+    evidence = -sum((F.log(F.greatest(c, F.lit(1e-300))) for c in ("p_chi", "p_runs", "p_serial")), F.lit(0.0))
+    return rows.withColumn("p", F.exp(-evidence) * (1 + evidence + evidence * evidence / 2))
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
     """The tokens taken for random, and so for secrets.
 
-    No test of the battery may reject randomness, and the chance of a structured token with as many runs must be small: by
-    Benjamini and Hochberg's step-up at ``rate`` among all tested tokens of the same encoding and length class (a doubling each), so that the many
+    The combined p must be small: by Benjamini and Hochberg's step-up at ``rate`` among all tested tokens of the same length class (a doubling each), so that the many
     short tokens, which can't be told apart well, don't loosen the threshold of the long ones, or the other way round. p-values are rounded up
-    to a grid, whose counts are all that the strata need; this only makes the control stricter.
+    to a grid, whose counts are all that the classes need; this only makes the control stricter. And no test of the battery may find the token
+    further from random than REJECT.
     """
-    step = F.least(F.floor(-F.log10(F.greatest("p_structure", F.lit(1e-300))) * STEP), F.lit(STEPS)).cast("int")
+    step = F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * STEP), F.lit(STEPS)).cast("int")
     rows = tested.withColumn("__length", F.floor(F.log2("n")).cast("int")).withColumn("__step", step)
-    stratum = Window.partitionBy("encoding", "__length")
-    grid = rows.groupBy("encoding", "__length", "__step").agg(F.count(F.lit(1)).alias("__n"))
-    grid = grid.withColumn("__all", F.sum("__n").over(stratum)).withColumn("__found", F.sum("__n").over(stratum.orderBy(F.col("__step").desc())))
+    own = Window.partitionBy("__length")
+    grid = rows.groupBy("__length", "__step").agg(F.count(F.lit(1)).alias("__n"))
+    grid = grid.withColumn("__all", F.sum("__n").over(own)).withColumn("__found", F.sum("__n").over(own.orderBy(F.col("__step").desc())))
     passing = grid.filter(F.col("__all") * F.pow(F.lit(10.0), -F.col("__step") / STEP) <= rate * F.col("__found"))
-    threshold = passing.groupBy("encoding", "__length").agg(F.min("__step").alias("__least"))
-    random = (F.col("z_chi") <= REJECT) & (F.abs("z_runs") <= REJECT) & (F.abs("z_serial") <= REJECT)
-    return rows.join(threshold, ["encoding", "__length"]).filter((F.col("__step") >= F.col("__least")) & random).select("token")
+    threshold = passing.groupBy("__length").agg(F.min("__step").alias("__least"))
+    random = (F.col("z_chi") <= REJECT) & (F.col("z_runs") <= REJECT) & (F.col("z_serial") <= REJECT)
+    return rows.join(F.broadcast(threshold), "__length").filter((F.col("__step") >= F.col("__least")) & random).select("token")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,9 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc
     """Deals all rows into ``shards`` so that each shard has the corpus's mixture of sources.
 
     Rows are shuffled by a seeded hash and ranked within their source; row r of n gets the fractional rank
-    (2r + 1) / 2n. All rows sorted by it are cut into shards whose row counts differ by one at most, so a
-    source's share of a shard differs from its share of the corpus by a row or two.
+    (r + u) / n, where u (0 to 1) is a seeded hash of the source: so sources of few rows don't all fall on the same fractions, however many
+    there are. All rows sorted by it are cut into shards whose row counts differ by one at most, and a source's
+    rows up to any fraction are its share of them, less than one row more or less.
 
     Returns (id, size, text_crc32, source, fraction, shard, slot): ``size`` is the text's bytes plus 1, slots run
     from 0 in each shard. A null text has no bytes (CRC 0). Null is a source of its own. Rows that repeat get
@@ -32,8 +33,10 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc
     buckets = C.bucket_count(n)
     rows = rows.withColumn("__bucket", C.bucket_of(F.col("__bits"), buckets))
     ranked = C.before(rows, ["__key"], "__bucket", ["__bits", "__id", "__crc"], "__one", "__rank", "__n")
-    ranked = ranked.withColumn("__fraction", (2 * F.col("__rank") + 1) / (2 * F.col("__n")).cast("double"))
-    ranked = C.cut(ranked.withColumn("__bucket", F.floor(F.col("__fraction") * buckets).cast("int")).withColumn("__every", F.lit(0)))
+    offset = C.seeded(seed + 1, "__key") / F.lit(float(2**53))
+    ranked = ranked.withColumn("__fraction", (F.col("__rank") + offset) / F.col("__n").cast("double"))
+    bucket = F.least(F.floor(F.col("__fraction") * buckets), F.lit(buckets - 1)).cast("int")
+    ranked = C.cut(ranked.withColumn("__bucket", bucket).withColumn("__every", F.lit(0)))
     placed = C.before(ranked, ["__every"], "__bucket", ["__fraction", "__key", "__bits", "__id", "__crc"], "__one", "__place")
     last = F.lit(max(n, 1)).cast("long")
     shard = F.floor(F.col("__place") * shards / last) if n * shards < 2**52 else F.expr(f"(__place * {shards}L) div {n}L")

@@ -101,6 +101,35 @@ def test_sample_is_bounded(spark, data):
     assert few == language.learn(df.repartition(7), sample_docs=3) and set(few) == {"de", "en", "es", "fr"}
 
 
+def identified(texts, profiles, most=300):
+    """Language and score the plain way: n-grams by frequency, then number; out-of-place distance, the worst where a profile hasn't one."""
+    worst = max(map(len, profiles.values()))
+    out = []
+    for text in texts:
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        counts = Counter({sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))): n for g, n in counted(letters).items()})
+        ranked = sorted(counts, key=lambda g: (-counts[g], g))[:most]
+        if not ranked:
+            out.append(("und", 0.0))
+            continue
+        far = {lang: sum(min(abs(own.index(g) - k), worst) if g in own else worst for k, g in enumerate(ranked)) for lang, own in sorted(profiles.items())}
+        best = min(far, key=far.get)
+        out.append((best, 1 - far[best] / (len(ranked) * worst)))
+    return out
+
+
+def test_predictions_against_brute_force(spark, data):
+    """Ranks, ties, distances and scores, on real texts and on ones where languages are as near as each other."""
+    docs_ = spark.read.parquet(f"{data}/documents.parquet")
+    profiles = language.learn(docs_, profile_grams=60)
+    texts = [r["text"] for r in docs_.select("text").collect()][:60] + ["", "1 2", "aaa aaa", "zzz qqq", "ab ba ab ba", "x"]
+    profiles |= {"twin": profiles["de"], "empty-ish": profiles["en"][:1]}
+    names, scores = language.predictor(profiles)(texts)
+    want = identified(texts, profiles)
+    assert names == [n for n, _ in want] and np.allclose(scores, [s for _, s in want])
+    assert "twin" not in names
+
+
 # --- mixing ------------------------------------------------------------------------------------------------
 
 

@@ -329,7 +329,7 @@ def test_small_batches_give_the_same(spark, monkeypatch, tmp_path):
     run = repeats.packer(repeats.BLOCK, 4, True)
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts)), pa.int32()), pa.array(texts)], ["k1", "k2", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["k1", "k2", "text"])
     table = pa.Table.from_batches(list(run(iter([batch]))))
     assert len(set(table.column("batch").to_pylist())) > 10
     found = pa.concat_tables([repeats.matcher(True)(table.filter(pa.compute.equal(table.column("slice"), s))) for s in range(4)])
@@ -351,12 +351,46 @@ def test_repeats_of_nothing(spark):
 
 
 def test_packing_of_keys():
-    keys = np.sort(np.random.default_rng(1).integers(0, 2**32, 1000).astype(np.uint32))
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**32, 1000).astype(np.uint32))[:, None]
     assert (repeats.unpacked_keys(repeats.packed_keys(keys), np.uint32) == keys).all()
-    wide = keys.astype(np.uint64) << np.uint64(20)
+    wide = np.random.default_rng(2).integers(0, 2**64, (1000, 2), dtype=np.uint64)
     assert (repeats.unpacked_keys(repeats.packed_keys(wide), np.uint64) == wide).all()
 
 
+def test_collisions_remove_nothing(monkeypatch):
+    """Where all windows have the same hash, all are candidates, but only windows of the same words are removed."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "window_hashes", lambda words, size: np.zeros(max(0, len(words) - size + 1), dtype=np.uint64))
+    texts = repeat_texts()
+    ids = [pa.array(range(len(texts)), pa.int64())] * 2
+
+    def found(batch, size, anchored):
+        table = pa.Table.from_batches(list(repeats.packer(size, 1, anchored)(iter([batch]))))
+        hits = repeats.matcher(anchored)(table)
+        each = pa.concat_tables([repeats.unpack(hits.filter(pa.compute.equal(hits.column("batch"), b))) for b in set(hits.column("batch").to_pylist())])
+        return dict(zip(each.column("k1").to_pylist(), each.column("places").to_pylist(), strict=True))
+
+    anchors = found(pa.RecordBatch.from_arrays([*ids, pa.array(texts)], ["k1", "k2", "text"]), repeats.BLOCK, True)
+    use = sorted(anchors)
+    assert use == [k for k, t in enumerate(texts) if len((t or "").split()) >= repeats.WINDOW]
+    some = pa.RecordBatch.from_arrays([pa.array(use, pa.int64())] * 2 + [pa.array([texts[k] for k in use]), pa.array([anchors[k] for k in use])], ["k1", "k2", "text", "places"])
+    windows = found(some, repeats.WINDOW, False)
+    out = next(iter(repeats.strip(iter([pa.RecordBatch.from_arrays([ids[0], pa.array(texts), pa.array([windows.get(k) for k in range(len(texts))], pa.binary())], ["id", "text", "places"])]))))
+    assert out.column("n_removed").to_pylist() == [n for _, n, _ in without_repeats(texts)]
+
+
+def test_rows_with_nulls_on_either_side(spark):
+    """A row's keys tell (null, text) and (text, null) apart."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(None, passage), (passage, None), (None, None), ("a", "x " + passage)], "doc_id string, text string")
+    rows = repeats.remove_repeats(df).collect()
+    assert sorted((r["doc_id"] or "", r["n_words"], r["n_removed"]) for r in rows) == [("", 0, 0), ("", 40, 40), ("a", 41, 40), (passage, 0, 0)]
+    assert len(simhash.deduplicated(df).collect()) == 2
+    kept = exact.deduplicated(df).collect()
+    assert len(kept) == 3 and (None, passage) in {tuple(r) for r in kept}
+
+
 def test_hub_that_is_like_none_hides_no_pairs(spark):
     """Twenty pairs of equal texts, all under the keys of a hub that is like none of them."""
     scheme = simhash.Scheme(words=5, lanes=4, distance=44, segments=12, similarity=0.8)
