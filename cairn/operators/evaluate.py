@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
 
+from . import voxel as V
+
 # --- descriptive statistics ----------------------------------------------------------------------
 
 
@@ -15,27 +17,42 @@ def basic_stats(value: str, prefix: str = "") -> list[Column]:
     return [F.avg(value).alias(f"{prefix}mean"), F.max(value).alias(f"{prefix}max"), F.min(value).alias(f"{prefix}min"), F.stddev_pop(value).alias(f"{prefix}std"), F.count(value).alias(f"{prefix}count")]
 
 
-def index_percentile(sorted_values: Column, q: float) -> Column:
-    """The element at floor(q n) of a sorted list."""
-    return F.element_at(sorted_values, F.floor(F.size(sorted_values) * F.lit(q)).cast("int") + 1)
+def with_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``__r``, the place (from 0) of a value among those of its key, and ``__n``, how many there are; nulls have no place.
 
+    Ranks come from ranges of values, so neither a key's rows nor its different values meet in one task or buffer.
+    """
+    ranked = V.in_order(df, F.col(value).isNotNull().cast("long"), [value], "__r", by, "__n")
+    return ranked.withColumn("__r", F.when(F.col(value).isNotNull(), F.col("__r") - 1))
 
-def profile_stats_index(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Per mode: mean, median, sample deviation, min, max, 95th and 99th percentile by index, share of converged.
 
-    The percentile by index is the value with floor(q n) smaller places: exact by rank, without collecting a mode's values.
-    """
-    ranked = df.withColumn("__n", F.count(value).over(Window.partitionBy(*by))).withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
-    at = lambda q: F.max(F.when(F.col("__r") == F.floor(F.col("__n") * q) + 1, F.col(value)))
-    return ranked.groupBy(*by).agg(
+def at_rank(value: str, place: Column) -> Column:
+    return F.max(F.when(F.col("__r") == place, F.col(value)))
+
+
+def percentile(value: str, q: float) -> Column:
+    """The linear percentile as an aggregate of rows with ranks."""
+    place = (F.col("__n") - 1) * F.lit(float(q))
+    low, high = at_rank(value, F.floor(place)), at_rank(value, F.ceil(place))
+    return low + (high - low) * F.max(place - F.floor(place))
+
+
+def percentile_by_index(value: str, q: float) -> Column:
+    """The value with floor(q n) smaller places."""
+    return at_rank(value, F.floor(F.col("__n") * F.lit(float(q))))
+
+
+def profile_stats_index(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Per mode: mean, median, sample deviation, min, max, 95th and 99th percentile by index, share of converged."""
+    return with_ranks(df, value, by).groupBy(*by).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
-        F.percentile(value, 0.5).alias("median"),
+        percentile(value, 0.5).alias("median"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        at(0.95).alias("p95"),
-        at(0.99).alias("p99"),
+        percentile_by_index(value, 0.95).alias("p95"),
+        percentile_by_index(value, 0.99).alias("p99"),
         (F.avg(F.col("converged").cast("double")) * 100).alias("converged_pct"),
     )
 
@@ -43,13 +60,13 @@ def profile_stats_index(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def profile_stats_linear(df: DataFrame, value: str, iterations: str, by: list[str]) -> DataFrame:
     """Mean, population deviation, median, linear percentiles, throughput and the mean of times per iteration."""
     each = F.when(F.col(iterations) > 0, F.col(value) / F.col(iterations))
-    return df.groupBy(*by).agg(
+    return with_ranks(df, value, by).groupBy(*by).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
-        F.percentile(value, 0.5).alias("median"),
-        F.percentile(value, 0.95).alias("p95"),
-        F.percentile(value, 0.99).alias("p99"),
+        percentile(value, 0.5).alias("median"),
+        percentile(value, 0.95).alias("p95"),
+        percentile(value, 0.99).alias("p99"),
         F.try_divide(F.lit(1000.0), F.avg(value)).alias("throughput"),
         F.avg(each).alias("ms_per_iteration"),
     )
@@ -60,11 +77,19 @@ def by_iterations(df: DataFrame, value: str, iterations: str) -> DataFrame:
 
 
 def warm_up(df: DataFrame, value: str, order: list[str], by: list[str], first: int = 10) -> DataFrame:
-    """Mean of the first rows and of the others; zeros if there are no others."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    rows = df.withColumn("__place", place).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("__place") <= first, F.col(value))).alias("a"), F.avg(F.when(F.col("__place") > first, F.col(value))).alias("b"))
-    some = F.col("n") > first
-    return rows.select(*by, F.when(some, F.col("a")).otherwise(F.lit(0.0)).alias("warm_up_mean"), F.when(some, F.col("b")).otherwise(F.lit(0.0)).alias("steady_mean"))
+    """Mean of the first rows and of the others; zeros if there are no others.
+
+    The first rows are found by a limit that each task applies before rows are moved; the others' sum is the whole less theirs.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    early = df.withColumn("__place", nth).filter(F.col("__place") <= first)
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    sums = lambda rows, *rest: rows.groupBy(*by).agg(F.coalesce(F.sum(value), zero).alias("s"), F.count(value).alias("c"), *rest)
+    whole = sums(df, F.count(F.lit(1)).alias("n")).select(*by, "s", "c", "n", zero.alias("es"), none.alias("ec"))
+    start = sums(early).select(*by, zero.alias("s"), none.alias("c"), none.alias("n"), F.col("s").alias("es"), F.col("c").alias("ec"))
+    both = whole.union(start).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("s", "c", "n", "es", "ec")])
+    mean = lambda total, count: F.when(F.col("n") > first, F.try_divide(total, count)).otherwise(zero)
+    return both.select(*by, mean(F.col("es"), F.col("ec")).alias("warm_up_mean"), mean(F.col("s") - F.col("es"), F.col("c") - F.col("ec")).alias("steady_mean"))
 
 
 def overhead(release: DataFrame, debug: DataFrame, value: str) -> DataFrame:
@@ -83,14 +108,14 @@ def speed_up(stats: DataFrame, mode: str, mean: str, baseline: str) -> DataFrame
 def init_stats(entries: DataFrame, total: str, particles: str, reliable: str) -> DataFrame:
     """Statistics of initial-pose records and of their particles' times together."""
     own = entries.agg(F.count(F.lit(1)).alias("n"), F.avg(total).alias("mean_total"), F.max(total).alias("max_total"), (F.avg(F.col(reliable).cast("double")) * 100).alias("reliable_pct"))
-    each = entries.select(F.explode(particles).alias("p")).agg(F.count("p").alias("n_particles"), F.avg("p").alias("mean_particle"), F.percentile("p", 0.95).alias("p95_particle"))
+    each = with_ranks(entries.select(F.explode(particles).alias("p")), "p").agg(F.count("p").alias("n_particles"), F.avg("p").alias("mean_particle"), percentile("p", 0.95).alias("p95_particle"))
     return own.crossJoin(each)
 
 
 def score_comparison(reference: DataFrame, test: DataFrame, value: str) -> DataFrame:
     """Statistics of two distributions, the difference and ratio of their means (null for a mean of 0)."""
-    stats = lambda p: [F.avg(value).alias(f"{p}_mean"), F.stddev_pop(value).alias(f"{p}_std"), F.min(value).alias(f"{p}_min"), F.max(value).alias(f"{p}_max"), F.percentile(value, 0.5).alias(f"{p}_median"), F.count(value).alias(f"{p}_n")]
-    both = reference.agg(*stats("ref")).crossJoin(test.agg(*stats("test")))
+    stats = lambda p: [F.avg(value).alias(f"{p}_mean"), F.stddev_pop(value).alias(f"{p}_std"), F.min(value).alias(f"{p}_min"), F.max(value).alias(f"{p}_max"), percentile(value, 0.5).alias(f"{p}_median"), F.count(value).alias(f"{p}_n")]
+    both = with_ranks(reference, value).agg(*stats("ref")).crossJoin(with_ranks(test, value).agg(*stats("test")))
     return both.withColumn("mean_diff", F.col("test_mean") - F.col("ref_mean")).withColumn("mean_ratio", F.when(F.col("ref_mean") != 0, F.col("test_mean") / F.col("ref_mean")))
 
 

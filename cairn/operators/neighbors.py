@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from cairn.functions import geometry as G
 
 from . import voxel as V
 
+#: Poses (9 numbers each) that are sent to all tasks at once.
+MOST_POSES = 100_000
 CELL = ("__cx", "__cy", "__cz")
 
 
@@ -49,12 +52,6 @@ def first_pairs(pairs: DataFrame, most: int = 8, order: tuple = ("distance2", *V
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def brute_pairs(points: DataFrame, grid: DataFrame, radius: float) -> DataFrame:
-    """The same by comparing all with all: for tests only."""
-    gaps = [F.col(a) - F.col(m) for a, m in zip(V.XYZ, V.MEANS, strict=True)]
-    return points.crossJoin(grid).withColumn("distance2", G.dot(gaps, gaps)).filter(F.col("distance2") <= radius * radius)
-
-
 def lookup(keys: DataFrame, grid: DataFrame) -> DataFrame:
     return keys.join(grid, list(V.KEY))
 
@@ -62,9 +59,18 @@ def lookup(keys: DataFrame, grid: DataFrame) -> DataFrame:
 def at_poses(points: DataFrame, poses: DataFrame) -> DataFrame:
     """Every point at every pose (pose_id, tx, ty, tz, roll, pitch, yaw), in map coordinates.
 
-    A pose's rotation is worked out once, before it meets the points. Poses are hypotheses of a search, some hundreds at
-    most, and are sent to all tasks.
+    A pose's rotation is worked out once, before it meets the points. Poses are hypotheses of a search and are sent to all tasks, MOST_POSES at a time
+    where there are more.
     """
+    parts = -(-poses.count() // MOST_POSES)
+    if parts > 1:
+        part = F.pmod(F.xxhash64("pose_id"), F.lit(2 * parts))
+        return reduce(DataFrame.union, [at_poses_of(points, poses.filter(part == k)) for k in range(2 * parts)])
+    return at_poses_of(points, poses)
+
+
+def at_poses_of(points: DataFrame, poses: DataFrame) -> DataFrame:
+    """``at_poses`` for as many poses as one broadcast holds."""
     entries = {f"__r{i}{j}": e for i, row in enumerate(G.rotation("roll", "pitch", "yaw")) for j, e in enumerate(row)}
     turned = poses.withColumns(entries)
     met = points.crossJoin(F.broadcast(turned))

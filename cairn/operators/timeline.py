@@ -22,8 +22,8 @@ def bracket(queries: DataFrame, events: DataFrame, time: str, fields: list[str],
     """Adds to each query the last event at or before its time (``prev_``...) and the first after it (``next_``...).
 
     One sort of both tables together, no comparison of pairs: windows carry the nearest event's fields to each query. Events
-    of the same time count by their fields' order, the last one as the previous. ``by``: keys that rows must share, and by which the work is dealt; without any,
-    ``slice_ns`` deals it by slices of time, and what reaches over a slice's edge comes from the slices' own last and first events.
+    of the same time count by their fields' order, the last one as the previous. ``by``: keys that rows must share (not null), and by which the work is dealt;
+    ``slice_ns`` deals it by slices of time besides, so that no key is one task's, and what reaches over a slice's edge comes from the slices' own last and first events.
     """
     keys = list(by or [])
     own = F.struct(F.col(time).alias("t"), *[F.col(c).alias(c) for c in fields])
@@ -34,9 +34,9 @@ def bracket(queries: DataFrame, events: DataFrame, time: str, fields: list[str],
     right = events.select(*keys, time, *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra], F.lit(0).alias("__side"), own.alias("__event"))
     both = left.select(*right.columns).unionByName(right)
     deal = list(keys)
-    if slice_ns and not keys:
+    if slice_ns:
         both = both.withColumn("__slice", F.floor(F.col(time) / slice_ns))
-        deal = ["__slice"]
+        deal = [*keys, "__slice"]
     part = Window.partitionBy(*deal) if deal else Window.partitionBy()
     order = part.orderBy(time, "__side", "__event")
     before = F.last("__event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -44,15 +44,15 @@ def bracket(queries: DataFrame, events: DataFrame, time: str, fields: list[str],
     # events at the query's own time stand before it in this order too, so the first after it is among those that precede it here
     after = F.last("__event", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     marked = both.withColumn("__prev", before).withColumn("__next", after)
-    if slice_ns and not keys:
-        edges = marked.groupBy("__slice").agg(F.max("__event").alias("__last"), F.min("__event").alias("__first"))
-        line = Window.orderBy("__slice")
+    if slice_ns:
+        edges = marked.groupBy(*deal).agg(F.max("__event").alias("__last"), F.min("__event").alias("__first"))
+        line = Window.partitionBy(*keys).orderBy("__slice")
         edges = edges.select(
-            "__slice",
+            *deal,
             F.last("__last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
             F.first("__first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__later"),
         )
-        marked = marked.join(edges, "__slice").withColumn("__prev", F.coalesce("__prev", "__earlier")).withColumn("__next", F.coalesce("__next", "__later"))
+        marked = marked.join(edges, deal).withColumn("__prev", F.coalesce("__prev", "__earlier")).withColumn("__next", F.coalesce("__next", "__later"))
     found = marked.filter("__side = 1")
     columns = [F.col("__prev.t").alias("prev_t"), F.col("__next.t").alias("next_t")]
     columns += [F.col(f"__prev.{c}").alias(f"prev_{c}") for c in fields] + [F.col(f"__next.{c}").alias(f"next_{c}") for c in fields]
@@ -131,23 +131,35 @@ def frame_name(c) -> Column:
     return F.regexp_replace(G.col(c), "^/", "")
 
 
-def transforms(queries: DataFrame, edges: DataFrame, stale_ns: int = 10_000_000_000) -> DataFrame:
+def transforms(queries: DataFrame, edges: DataFrame, stale_ns: int = 10_000_000_000, slice_ns: int | None = None) -> DataFrame:
     """Looks up the transform from ``source`` to ``target`` for queries (query_id, source, target, t_ns; no time: the latest).
 
     ``edges`` (parent, child, stamp_ns, is_static, x..qw) map the child's coordinates into the parent's. Of each edge the sample nearest in
     time counts (the earlier at a tie). Ways, the first that exists: the same frame, a direct edge, an inverse one, one over a common
-    parent. Adds x..qw, ``way`` and ``is_stale`` (a sample further than ``stale_ns`` from the time, static ones never); no way: nulls.
+    parent. Adds x..qw, ``way`` and ``is_stale`` (a sample further than ``stale_ns`` from the time, static ones never); no way: nulls. ``slice_ns`` deals an edge's
+    samples by slices of time.
     """
     q = queries.withColumn("source", frame_name("source")).withColumn("target", frame_name("target"))
     e = edges.withColumn("parent", frame_name("parent")).withColumn("child", frame_name("child"))
     fields = [*POSITION, *ORIENTATION]
 
+    still, moving = e.filter("is_static"), e.filter(~F.col("is_static"))
+    sample = lambda df, by: df.groupBy("parent", "child").agg(F.min_by(F.struct("stamp_ns", *fields), F.struct(by, *fields)).alias("s"))
+    first_still = sample(still, F.col("stamp_ns")).withColumnRenamed("s", "fixed")
+    newest = sample(moving, -F.col("stamp_ns")).withColumnRenamed("s", "newest")
+    # of samples with one stamp the first by position counts, as a bracket's sides take the last and the first of them
+    times = moving.groupBy("parent", "child", F.col("stamp_ns").alias("t_ns")).agg(F.min(F.struct(*fields)).alias("__f")).select("parent", "child", "t_ns", *[F.col(f"__f.{c}").alias(c) for c in fields])
+
     def near(asked: DataFrame) -> DataFrame:
-        """The best sample of each edge asked for: (query_id, parent, child, ...)."""
-        met = asked.join(e, ["parent", "child"])
-        gap = F.when(F.col("is_static"), F.lit(0).cast("long")).when(F.col("t_ns").isNull(), -F.col("stamp_ns")).otherwise(F.abs(F.col("stamp_ns") - F.col("t_ns")))
-        best = met.withColumn("__gap", gap).groupBy("query_id", "parent", "child").agg(F.min_by(F.struct("is_static", "stamp_ns", "t_ns", *fields), F.struct("__gap", "stamp_ns")).alias("b"))
-        stale = F.col("b.t_ns").isNotNull() & ~F.col("b.is_static") & (F.abs(F.col("b.stamp_ns") - F.col("b.t_ns")) > stale_ns)
+        """The best sample of each edge asked for: (query_id, parent, child, ...). Queries and samples are sorted together by edge and time; no query meets all samples of its edge."""
+        timed = nearest(asked.filter(F.col("t_ns").isNotNull()), times, "t_ns", fields, 2**62, by=["parent", "child"], slice_ns=slice_ns)
+        timed = timed.select("query_id", "parent", "child", F.struct(F.col("match_t").alias("stamp_ns"), *[F.col(f"match_{c}").alias(c) for c in fields]).alias("timed"))
+        rows = asked.join(timed, ["query_id", "parent", "child"], "left").join(first_still, ["parent", "child"], "left").join(newest, ["parent", "child"], "left")
+        # a fixed sample is no time away; of others that are not either the older one
+        exact = (F.col("timed.stamp_ns") == F.col("t_ns")) & (F.col("t_ns") < F.col("fixed.stamp_ns"))
+        use_fixed = F.col("fixed").isNotNull() & ~F.coalesce(exact, F.lit(False))
+        best = rows.withColumn("b", F.when(use_fixed, F.col("fixed")).when(F.col("t_ns").isNull(), F.col("newest")).otherwise(F.col("timed"))).filter(F.col("b").isNotNull())
+        stale = F.col("t_ns").isNotNull() & ~use_fixed & (F.abs(F.col("b.stamp_ns") - F.col("t_ns")) > stale_ns)
         return best.select("query_id", "parent", "child", stale.alias("is_stale"), *[F.col(f"b.{c}").alias(c) for c in fields])
 
     def named(df: DataFrame, way: str) -> DataFrame:

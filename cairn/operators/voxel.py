@@ -139,13 +139,18 @@ def point_bounds(points: DataFrame) -> DataFrame:
 def segments(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``is_start`` and ``segment`` (from 0): runs of equal keys in the given order.
 
-    One order over all rows has one window, and so one task: for many rows pass a key that is sorted in ranges, as
-    ``run_lengths`` does.
+    The order is dealt into ranges (see ``in_order``); the key before a range's first row is the last one of the ranges before.
     """
-    line = Window.orderBy(*order)
-    start = F.coalesce((F.lag(key).over(line) != F.col(key)).cast("int"), F.lit(1))
-    marked = df.withColumn("is_start", start)
-    return marked.withColumn("segment", (F.sum("is_start").over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
+    rows = in_ranges(df, order)
+    own = Window.partitionBy("__range").orderBy(*order)
+    rows = rows.withColumn("__before", F.lag(F.struct(key)).over(own))
+    line = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = rows.groupBy("__range").agg(F.max_by(F.struct(key), F.struct(*order)).alias("__last"))
+    lasts = lasts.select("__range", F.last("__last").over(line).alias("__earlier"))
+    rows = rows.join(F.broadcast(lasts), "__range").withColumn("__before", F.coalesce("__before", "__earlier"))
+    start = F.coalesce((F.col(f"__before.{key}") != F.col(key)).cast("int"), F.lit(1))
+    marked = rows.drop("__earlier").withColumn("is_start", start).drop("__before")
+    return running(marked, F.col("is_start").cast("long"), order, "segment").withColumn("segment", F.col("segment") - 1)
 
 
 def run_lengths(df: DataFrame, key: str) -> DataFrame:
@@ -159,26 +164,44 @@ def segment_sums(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-#: Ranges that one order over all rows is dealt into.
+#: Ranges that one order over all rows is dealt into, at least; as many as there are shuffle partitions, if those are more.
 RANGES = 64
 
 
-def in_order(df: DataFrame, value, order: list[str], name: str, ranges: int = RANGES) -> DataFrame:
-    """Adds the running sum of ``value`` over all rows in the given order, without bringing them to one task.
-
-    Quantiles of the first column, which must be a number, cut the order into ranges; each range is a window of its own, and what
-    stands before it is a sum of at most ``ranges`` rows. Rows with the same first value share a range. Nulls come first.
-    """
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """Adds ``__range``, which grows with the order: quantiles of its first column, which must be a number, are the edges. Rows with the same first value
+    share a range. Nulls come first."""
+    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = F.col(order[0]).cast("double")
-    cuts = sorted(set(df.select(first.alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.001)))
+    cuts = sorted(set(df.select(first.alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], min(0.001, 0.1 / ranges))))
     place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < first)) if cuts else F.lit(0)
-    rows = df.withColumn("__value", value).withColumn("__range", place)
-    sums = rows.groupBy("__range").agg(F.sum("__value").alias("__sum"))
-    line = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__range", F.coalesce(F.sum("__sum").over(line), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("__own", F.sum("__value").over(own)).join(F.broadcast(sums), "__range")
-    return local.withColumn(name, F.col("__own") + F.col("__base")).drop("__value", "__range", "__own", "__base")
+    return df.withColumn("__range", F.coalesce(place, F.lit(-1)))
+
+
+def running(rows: DataFrame, value, order: list[str], name: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """``in_order`` for rows with their ``__range``."""
+    by = by or []
+    rows = rows.withColumn("__value", value).withColumn("__by", F.struct("__range", *by))
+    sums = rows.groupBy("__by").agg(F.sum("__value").alias("__sum"))
+    keys = [F.col(f"__by.{k}") for k in by]
+    line = Window.partitionBy(*keys).orderBy("__by.__range")
+    sums = sums.select("__by", F.coalesce(F.sum("__sum").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__sum").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
+    own = Window.partitionBy("__by").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # without keys there are as many sums as ranges
+    local = rows.withColumn("__own", F.sum("__value").over(own)).join(sums if by else F.broadcast(sums), "__by")
+    out = local.withColumn(name, F.col("__own") + F.col("__base"))
+    if total:
+        out = out.withColumn(total, F.col("__total"))
+    return out.drop("__value", "__range", "__by", "__own", "__base", "__total")
+
+
+def in_order(df: DataFrame, value, order: list[str], name: str, by: list[str] | None = None, total: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Adds the running sum of ``value`` over all rows in the given order, or those with the same ``by``, without bringing them to one task.
+
+    The order is cut into ranges; each range of a key is a window of its own, and what stands before it is a sum over the key's ranges. ``total``
+    gets the sum over all rows of the key.
+    """
+    return running(in_ranges(df, order, ranges), value, order, name, by, total)
 
 
 def scans(df: DataFrame, value: str, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -228,6 +251,11 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def members(points: DataFrame, resolution: float, show: int = 5) -> DataFrame:
-    """Of each cell the ids of its points and the first ``show`` points, by id."""
-    rows = G.with_cells(points, resolution).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("point_id", *XYZ))).alias("__all"))
-    return rows.select(*KEY, F.transform("__all", lambda p: p["point_id"]).alias("point_ids"), F.slice("__all", 1, show).alias("first_points"))
+    """A row for each point with its cell, and whether it is among the cell's first ``show`` by id. A cell's points stay rows: a cell may have very many.
+
+    The first ones are found by a limit that each task applies before rows are moved.
+    """
+    rows = G.with_cells(points, resolution).select(*KEY, "point_id", *XYZ)
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("point_id"))
+    first = rows.withColumn("__nth", nth).filter(F.col("__nth") <= show).select(*KEY, "point_id", F.lit(True).alias("shown"))
+    return rows.join(first, [*KEY, "point_id"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))

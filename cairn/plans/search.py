@@ -7,14 +7,20 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
+from cairn.operators import voxel as V
+
+from . import alignment as A
+from .newton import Arrays, Settings, maximise
 
 #: Parameters that the density ratio looks at: x, y and yaw.
 SCORED = (0, 1, 5)
 CANDIDATES, PENALTY = 100, 5.0
+MOST_TRIALS = 100_000
 
 
 def good_count(trials: int) -> int:
@@ -77,8 +83,10 @@ class Sampler:
 def density_ratio(candidates: DataFrame, trials: DataFrame, spread: tuple[float, float, float], good: int) -> DataFrame:
     """The ratio for many candidates (candidate_id, x, y, yaw) at once against ranked trials (rank from 1, x, y, yaw).
 
-    Trials of one search are some hundreds and meet every candidate.
+    Every candidate meets all trials of the search: those are sent to all tasks, and must be MOST_TRIALS at most.
     """
+    if trials.limit(MOST_TRIALS + 1).count() > MOST_TRIALS:
+        raise ValueError(f"a search has {MOST_TRIALS} trials at most")
     met = candidates.crossJoin(F.broadcast(trials.select("rank", *[F.col(c).alias(f"t_{c}") for c in ("x", "y", "yaw")])))
     terms = []
     for c, s in zip(("x", "y", "yaw"), spread, strict=True):
@@ -122,3 +130,37 @@ def estimate(align_batch: Callable[[list[np.ndarray]], list[tuple[np.ndarray, fl
     ranks = [p[1] if p[1] > 0 else 5 * p[2] for p in particles]
     best = max(range(len(ranks)), key=lambda k: (ranks[k], k))
     return Estimate(particles[best][0], ranks[best], ranks[best] >= threshold, trajectory, particles)
+
+
+ESTIMATE = "scan_id string, score double, reliable boolean, particles int, trajectory array<double>, " + ", ".join(f"{c} double" for c in A.POSE)
+
+
+def estimate_many(scans: DataFrame, priors: DataFrame, grid: DataFrame, settings: Settings = Settings(), startup: int = 100, total: int = 200, seed: int = 0, threshold: float = 2.3) -> DataFrame:
+    """``estimate`` for many scans (scan_id, x, y, z) with priors (scan_id, mean, covariance: 6 and 36 numbers): a row of ESTIMATE each.
+
+    A search is sequential, so a task runs one from start to end on the scan and the part of the map that its points can reach: turned by any
+    yaw about the prior's position, moved by six of its deviations and by the iterations' steps.
+    """
+    spread = F.sqrt(F.greatest(*[F.col("covariance")[7 * k] for k in range(3)]))
+    radius = scans.agg(F.max(F.sqrt(sum((F.col(a) * F.col(a) for a in V.XYZ), F.lit(0.0)))).alias("r")).first()["r"] or 0.0
+    wide = priors.agg(F.max(spread).alias("d")).first()["d"] or 0.0
+    starts = priors.select("scan_id", F.lit(0).cast("long").alias("start_id"), *[F.col("mean")[k].alias(c) for k, c in enumerate(A.POSE)])
+    around = A.nearby_grid(scans, starts, grid, settings, 2 * radius + 6 * max(wide, 0.1) + settings.max_iterations * settings.step)
+    columns = list(grid.columns)
+    points = scans.select("scan_id", *V.XYZ).join(priors, "scan_id")
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame()
+        own, arrays = left[list(V.XYZ)].to_numpy(float), Arrays(right[columns], settings.resolution, settings.metric, settings.outliers)
+
+        def aligned(starts: list[np.ndarray]) -> list[tuple]:
+            found = [maximise(lambda p: arrays.evaluate(own, p), s, settings) for s in starts]
+            return [(f.pose, arrays.nvtl(own, f.pose), f.score / len(own), f.iterations) for f in found]
+
+        found = estimate(aligned, left["mean"].iloc[0], np.array(left["covariance"].iloc[0]).reshape(6, 6), startup, total, threshold, seed)
+        values = [key[0], found.score, found.reliable, len(found.particles), found.trajectory, *found.pose]
+        return pd.DataFrame([values], columns=[c.split()[0] for c in ESTIMATE.split(", ")])
+
+    around = around.withColumnRenamed("scan_id", "of_scan")
+    return points.groupBy("scan_id").cogroup(around.groupBy("of_scan")).applyInPandas(run, ESTIMATE)

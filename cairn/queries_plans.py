@@ -9,7 +9,7 @@ from cairn import views as W
 from cairn.functions import geometry as G
 from cairn.operators import voxel
 from cairn.plans import alignment, newton, search
-from cairn.queries_space import RES, XYZ_SQL, R, map_grid, r, rounded, rs
+from cairn.queries_space import RAMP_SQL, RES, XYZ_SQL, R, map_grid, r, rounded, rs
 from cairn.sources import clouds, logs
 
 QUERIES: dict = {}
@@ -31,15 +31,33 @@ def query(name: str, sql: str | None = None):
 # --- codecs ----------------------------------------------------------------------------------------------
 
 
-@query("snk1_cloud_encode", W.with_views("points", "SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, CAST(count(*) AS INTEGER) AS width, 12 AS point_step, CAST(12*count(*) AS INTEGER) AS bytes FROM points GROUP BY cloud_id"))
+def bits_sql(c: str) -> str:
+    """The bits of a 32-bit float as a number."""
+    v = f"abs(CAST(CAST({c} AS FLOAT) AS DOUBLE))"
+    power = f"floor(log2({v}))"
+    # a logarithm may be rounded over the next power
+    power = f"({power} + CASE WHEN pow(2, {power}) > {v} THEN -1 WHEN pow(2, {power} + 1) <= {v} THEN 1 ELSE 0 END)"
+    return f"CASE WHEN {v} = 0 THEN 0 ELSE CAST(CASE WHEN {c} < 0 THEN 2147483648 ELSE 0 END + ({power} + 127) * 8388608 + ({v} / pow(2, {power}) - 1) * 8388608 AS BIGINT) END"
+
+
+def words_of(blobs, step: int):
+    """A blob's 32-bit words, little-endian, a row for each point."""
+    each = blobs.select("cloud_id", "width", "point_step", F.col("data").alias("d"), F.posexplode(F.sequence(F.lit(0), F.col("width") - 1)).alias("place", "p"))
+    byte = lambda k, j: F.conv(F.hex(F.substring("d", F.col("p") * step + (4 * k + j + 1), F.lit(1))), 16, 10).cast("long")
+    return each.select("cloud_id", "width", "point_step", F.col("place").cast("long").alias("place"), *[sum((byte(k, j) * 256**j for j in range(1, 4)), byte(k, 0)).alias(f"w{k}") for k in range(step // 4)])
+
+
+WORDS_SQL = "SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, CAST(count(*) OVER (PARTITION BY cloud_id) AS INTEGER) AS width, {step} AS point_step, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS place, " + ", ".join(f"{bits_sql(c)} AS w{k}" for k, c in enumerate(XYZ))
+@query("snk1_cloud_encode", W.with_views("points", WORDS_SQL.format(step=12) + " FROM points"))
 def snk1(spark, sf):
-    return clouds.encode(W.points(spark, sf)).select("cloud_id", "width", "point_step", F.octet_length("data").alias("bytes"))
+    """The bytes themselves, as words of 32 bits."""
+    return words_of(clouds.encode(W.points(spark, sf)), 12)
 
 
-@query("snk2_coloured_encode", W.with_views("points", "SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, CAST(count(*) AS INTEGER) AS width, 16 AS point_step, CAST(16*count(*) AS INTEGER) AS bytes FROM points GROUP BY cloud_id"))
+@query("snk2_coloured_encode", W.with_views("points", WORDS_SQL.format(step=16) + ", CAST(" + " + ".join(f"floor(255*({RAMP_SQL[c]}))*{w}" for c, w in (("red", 65536), ("green", 256), ("blue", 1))) + " AS BIGINT) AS w3 FROM points"))
 def snk2(spark, sf):
     coloured = W.points(spark, sf).withColumn("rgb", G.rgb_packed(G.score_ramp("x", -4.0, 4.0)))
-    return clouds.encode(coloured, "rgb").select("cloud_id", "width", "point_step", F.octet_length("data").alias("bytes"))
+    return words_of(clouds.encode(coloured, "rgb"), 16)
 
 
 @query("src1_cloud_decode", W.with_views("points", "SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS point_id, " + ", ".join(f"{R(f'CAST(CAST({a} AS FLOAT) AS DOUBLE)')} AS {a}" for a in XYZ) + " FROM points"))
@@ -50,16 +68,22 @@ def src1(spark, sf):
 DUMPED = [*voxel.MEANS, *voxel.COV, *voxel.INV]
 
 
-@query("src2_voxel_dump", W.with_views("points cells gauss dets", f"SELECT vx, vy, vz, n, {rs([*voxel.MEANS, *voxel.COV], 5)}, " + ", ".join(f"{R(e, 5)} AS {c}" for c, e in zip(voxel.INV, ["(cyy*czz-cyz*cyz)/det", "(cxz*cyz-cxy*czz)/det", "(cxy*cyz-cxz*cyy)/det", "(cxx*czz-cxz*cxz)/det", "(cxy*cxz-cxx*cyz)/det", "(cxx*cyy-cxy*cxy)/det"], strict=True)) + " FROM dets WHERE det > 0"))
+DUMP_SQL = f"SELECT vx, vy, vz, n, {rs([*voxel.MEANS, *voxel.COV], 5)}, " + ", ".join(f"{R(e, 5)} AS {c}" for c, e in zip(voxel.INV, ["(cyy*czz-cyz*cyz)/det", "(cxz*cyz-cxy*czz)/det", "(cxy*cyz-cxz*cyy)/det", "(cxx*czz-cxz*cxz)/det", "(cxy*cxz-cxx*cyz)/det", "(cxx*cyy-cxy*cxy)/det"], strict=True)) + " FROM dets WHERE det > 0"
+
+
+@query("src2_voxel_dump", W.with_views("points cells gauss dets", DUMP_SQL))
 def src2(spark, sf):
-    schema = "resolution double, num_voxels bigint, voxels array<struct<mean: array<double>, cov: array<array<double>>, inv_cov: array<array<double>>, point_count: bigint>>"
-    dumped = logs.dump_voxels(map_grid(spark, sf), RES).select(F.from_json("json", schema).alias("d")).select("d.*")
-    return rounded(logs.voxels_of(dumped), DUMPED, 5)
+    return rounded(logs.line_voxels(logs.voxel_lines(map_grid(spark, sf), RES), RES), DUMPED, 5)
 
 
-@query("snk4_voxel_json", W.with_views("points cells gauss dets", "SELECT count(*) AS num_voxels, CAST(2.0 AS DOUBLE) AS resolution FROM dets WHERE det > 0"))
+@query("snk4_voxel_json", W.with_views("points cells gauss dets", "SELECT place, CASE WHEN place = 0 THEN '{\"resolution\":2.0,\"num_voxels\":' || total || ',\"voxels\":[' WHEN place > total THEN ']}' ELSE 'voxel' END AS kind, n, mean_x, comma FROM (SELECT row_number() OVER (ORDER BY vx, vy, vz) AS place, count(*) OVER () AS total, n, " + R("mx", 5) + " AS mean_x, row_number() OVER (ORDER BY vx, vy, vz) < count(*) OVER () AS comma FROM dets WHERE det > 0 UNION ALL SELECT 0, count(*), NULL, NULL, FALSE FROM dets WHERE det > 0 UNION ALL SELECT count(*) + 1, count(*), NULL, NULL, FALSE FROM dets WHERE det > 0)"))
 def snk4(spark, sf):
-    return logs.dump_voxels(map_grid(spark, sf), RES).select(F.get_json_object("json", "$.num_voxels").cast("long").alias("num_voxels"), F.get_json_object("json", "$.resolution").cast("double").alias("resolution"))
+    """The document's lines: its head and end as they are, of each voxel what it says."""
+    lines = logs.voxel_lines(map_grid(spark, sf), RES)
+    inner = F.col("line").startswith('{"mean"')
+    line = F.regexp_replace("line", ",$", "")
+    mean = F.get_json_object(line, "$.mean[0]").cast("double")
+    return lines.select("place", F.when(inner, "voxel").otherwise(F.col("line")).alias("kind"), F.get_json_object(F.when(inner, line), "$.point_count").cast("long").alias("n"), r(F.when(inner, mean), 5).alias("mean_x"), (inner & F.col("line").endswith(",")).alias("comma"))
 
 
 # --- covariances and offsets -----------------------------------------------------------------------------
@@ -92,28 +116,42 @@ def outcome(spark, found: newton.Outcome):
     return spark.createDataFrame([row], "status string, iterations int, score double, pairs long, oscillations int, " + ", ".join(f"{c} double" for c in alignment.POSE))
 
 
+START = (0.05, -0.05, 0.02, 0.0, 0.0, 0.0)
+
+
+def one_scan(spark, sf):
+    return W.scan(spark, sf).select(F.lit("scan").alias("scan_id"), *XYZ)
+
+
 @query("opt1_align_one_scan")
 def opt1(spark, sf):
+    """All iterations, a job for each evaluation."""
     scan, grid = W.scan(spark, sf).cache(), voxel.grid(W.points(spark, sf), RES).cache()
-    return outcome(spark, alignment.align(scan, grid, (0.05, -0.05, 0.02, 0.0, 0.0, 0.0), newton.Settings(max_iterations=5)))
+    try:
+        return outcome(spark, alignment.align(scan, grid, START))
+    finally:
+        scan.unpersist()
+        grid.unpersist()
+
+
+def searched(spark, sf, search_: str):
+    """All iterations with a line search, inside a task."""
+    return alignment.align_many(one_scan(spark, sf), started(spark, [START]), voxel.grid(W.points(spark, sf), RES), newton.Settings(search=search_))
 
 
 @query("opt5_line_search")
 def opt5(spark, sf):
-    scan, grid = W.scan(spark, sf).cache(), voxel.grid(W.points(spark, sf), RES).cache()
-    return outcome(spark, alignment.align(scan, grid, (0.05, -0.05, 0.02, 0.0, 0.0, 0.0), newton.Settings(max_iterations=2, search="more_thuente")))
+    return searched(spark, sf, "more_thuente")
 
 
 @query("opt6_candidate_search")
 def opt6c(spark, sf):
-    scan, grid = W.scan(spark, sf).cache(), voxel.grid(W.points(spark, sf), RES).cache()
-    return outcome(spark, alignment.align(scan, grid, (0.05, -0.05, 0.02, 0.0, 0.0, 0.0), newton.Settings(max_iterations=2, search="candidates")))
+    return searched(spark, sf, "candidates")
 
 
 @query("opt9_many_starts")
 def opt9(spark, sf):
-    scan = W.scan(spark, sf).select(F.lit("scan").alias("scan_id"), *XYZ)
-    return alignment.align_many(scan, started(spark, [(x, y, 0, 0, 0, 0) for x, y in OFFSETS]), voxel.grid(W.points(spark, sf), RES))
+    return alignment.align_many(one_scan(spark, sf), started(spark, [(x, y, 0, 0, 0, 0) for x, y in OFFSETS]), voxel.grid(W.points(spark, sf), RES))
 
 
 @query("opt10_many_scans")
@@ -125,23 +163,14 @@ def opt10(spark, sf):
 
 @query("opt11_cascade")
 def opt11(spark, sf):
-    scan = W.scan(spark, sf).select(F.lit("scan").alias("scan_id"), *XYZ)
-    return alignment.align_cascade(scan, started(spark, [(0.3, -0.2, 0.1, 0, 0, 0)]), W.points(spark, sf))
+    return alignment.align_cascade(one_scan(spark, sf), started(spark, [(0.3, -0.2, 0.1, 0, 0, 0)]), W.points(spark, sf))
 
 
 @query("opt16_initial_pose")
 def opt16(spark, sf):
-    scan = W.scan(spark, sf).select(F.lit("scan").alias("scan_id"), *XYZ)
-    grid = voxel.grid(W.points(spark, sf), RES).cache()
-
-    def batch(poses):
-        """All starts of a round in one job."""
-        rows = alignment.align_many(scan, started(spark, poses), grid, newton.Settings(max_iterations=5)).collect()
-        return [(np.array([x[c] for c in alignment.POSE]), x["nvtl"], x["tp_per_point"], x["iterations"]) for x in sorted(rows, key=lambda x: x["start_id"])]
-
-    found = search.estimate(batch, np.zeros(6), np.diag([0.25, 0.25, 0.01, 0, 0, 0.01]), startup=8, total=10, seed=1)
-    row = (float(found.score), bool(found.reliable), len(found.particles), *map(float, found.pose))
-    return spark.createDataFrame([row], "score double, reliable boolean, particles int, " + ", ".join(f"{c} double" for c in alignment.POSE))
+    """The whole search: 100 hypotheses drawn, 100 guided ones, each aligned to its end."""
+    priors = spark.createDataFrame([("scan", [0.0] * 6, np.diag([0.25, 0.25, 0.01, 0, 0, 0.01]).reshape(-1).tolist())], "scan_id string, mean array<double>, covariance array<double>")
+    return search.estimate_many(one_scan(spark, sf), priors, voxel.grid(W.points(spark, sf), RES))
 
 
 @query("opt2_newton_steps")
@@ -158,5 +187,4 @@ def opt2(spark, sf):
 
 @query("opt4_backtracking")
 def opt4(spark, sf):
-    scan, grid = W.scan(spark, sf).cache(), voxel.grid(W.points(spark, sf), RES).cache()
-    return outcome(spark, alignment.align(scan, grid, (0.05, -0.05, 0.02, 0.0, 0.0, 0.0), newton.Settings(max_iterations=2, search="backtracking")))
+    return searched(spark, sf, "backtracking")

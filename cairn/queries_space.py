@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn import views as W
@@ -341,9 +342,35 @@ def agg5i(spark, sf):
     return rounded(voxel.inverted(voxel.gaussians(W.points(spark, sf), RES)), voxel.INV, 5).select(*KEY, "n", *voxel.INV)
 
 
-@query("agg5_conditioned")
+LATENT = (
+    *EIGEN_SQL[EIGEN_SQL.index("e1 AS") : EIGEN_SQL.rindex(")\nSELECT") + 1].split(",\n"),
+    "ei AS (SELECT *, q + 2*p*cos(phi + 2*pi()/3) AS l1, 3*q - (q + 2*p*cos(phi)) - (q + 2*p*cos(phi + 2*pi()/3)) AS l2, q + 2*p*cos(phi) AS l3 FROM e3)",
+    "sq AS (SELECT *, cxx*cxx+cxy*cxy+cxz*cxz AS sxx, cxx*cxy+cxy*cyy+cxz*cyz AS sxy, cxx*cxz+cxy*cyz+cxz*czz AS sxz, cxy*cxy+cyy*cyy+cyz*cyz AS syy, cxy*cxz+cyy*cyz+cyz*czz AS syz, cxz*cxz+cyz*cyz+czz*czz AS szz FROM ei WHERE l3 > 0)",
+    # the projections on the three axes, as polynomials of the matrix
+    "pr AS (SELECT *, greatest(l1, 0.01*l3) AS m1, greatest(l2, 0.01*l3) AS m2, l3 AS m3, "
+    + ", ".join(f"(s{ab} - (l{j}+l{k})*c{ab}" + (f" + l{j}*l{k}" if ab[0] == ab[1] else "") + f")/((l{i}-l{j})*(l{i}-l{k})) AS p{i}{ab}" for i, j, k in ((1, 2, 3), (2, 1, 3), (3, 1, 2)) for ab in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    + " FROM sq)",
+)
+NORMAL_SQL = [f"CASE greatest(p1xx, p1yy, p1zz) WHEN p1xx THEN p1{x} WHEN p1yy THEN p1{y} ELSE p1{z} END / sqrt(greatest(p1xx, p1yy, p1zz))" for x, y, z in (("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz"))]
+
+
+@query(
+    "agg5_conditioned",
+    W.with_views(
+        "points cells gauss",
+        "SELECT vx, vy, vz, n, "
+        + ", ".join(f"{R(f'CASE WHEN m1 > l1 OR m2 > l2 THEN m1*p1{c[1:]} + m2*p2{c[1:]} + m3*p3{c[1:]} ELSE {c} END', 4)} AS {c}" for c in voxel.COV)
+        + ", "
+        + ", ".join(f"{R(f'p1{c[1:]}/m1 + p2{c[1:]}/m2 + p3{c[1:]}/m3', 4)} AS {c}" for c in voxel.INV)
+        + ", "
+        + ", ".join(f"{R(e, 4)} AS n{a}" for a, e in zip(XYZ, NORMAL_SQL, strict=True))
+        + " FROM pr",
+        *LATENT,
+    ),
+)
 def agg5c(spark, sf):
-    return voxel.grid(W.points(spark, sf), RES)
+    names = [*voxel.COV, *voxel.INV, "nx", "ny", "nz"]
+    return rounded(voxel.grid(W.points(spark, sf), RES), names, 4).select(*KEY, "n", *names)
 
 
 @query("agg6_bounds", W.with_views("points cells", "SELECT " + ", ".join(f"coalesce(min({k}), 0) AS min_{k}, coalesce(max({k}), 0) AS max_{k}, coalesce(max({k}) - min({k}), 0) + 1 AS dim_{k}" for k in KEY) + " FROM cells"))
@@ -435,10 +462,10 @@ def joi2(spark, sf):
 
 @query("joi3_brute_force_cap", W.with_views(GRID, "SELECT point_id, vx, vy, vz, rank FROM (SELECT point_id, vx, vy, vz, row_number() OVER (PARTITION BY point_id ORDER BY vx, vy, vz) AS rank FROM pairs) WHERE rank <= 8"))
 def joi3(spark, sf):
-    return neighbors.first_pairs(neighbors.brute_pairs(W.scan(spark, sf), F.broadcast(map_grid(spark, sf)), RES), 8, KEY).select("point_id", *KEY, "rank")
+    return neighbors.first_pairs(neighbors.radius_pairs(W.scan(spark, sf), map_grid(spark, sf), RES), 8, KEY).select("point_id", *KEY, "rank")
 
 
-@query("joi5_cell_neighbours", W.with_views("points scan cells gauss dets grid", "SELECT c.point_id, g.vx, g.vy, g.vz FROM cells c JOIN grid g ON abs(c.vx-g.vx) <= 1 AND abs(c.vy-g.vy) <= 1 AND abs(c.vz-g.vz) <= 1 WHERE c.point_id % 7 = 0"))
+@query("joi5_cell_neighbours", W.with_views("points scan cells gauss dets grid", "SELECT c.point_id, g.vx, g.vy, g.vz FROM cells c JOIN grid g ON abs(c.vx-g.vx) <= 1 AND abs(c.vy-g.vy) <= 1 AND abs(c.vz-g.vz) <= 1"))
 def joi5(spark, sf):
     return neighbors.cell_pairs(W.scan(spark, sf), map_grid(spark, sf), RES).select("point_id", *KEY)
 
@@ -530,11 +557,9 @@ def set4(spark, sf):
     return rounded(found, ["mean_gap", "cov_gap"])
 
 
-@query("snk5_members", W.with_views("points cells", "SELECT vx, vy, vz, CAST(count(*) AS INTEGER) AS n, CAST(sum(point_id) AS BIGINT) AS ids, min(point_id) AS first_id FROM cells GROUP BY vx, vy, vz"))
+@query("snk5_members", W.with_views("points cells", f"SELECT vx, vy, vz, point_id, {rs('xyz')}, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY point_id) <= 5 AS shown FROM cells"))
 def snk5(spark, sf):
-    rows = voxel.members(W.points(spark, sf), RES)
-    total = F.aggregate("point_ids", F.lit(0).cast("long"), lambda a, v: a + v)
-    return rows.select(*KEY, F.size("point_ids").alias("n"), total.alias("ids"), F.col("first_points")[0]["point_id"].alias("first_id"))
+    return rounded(voxel.members(W.points(spark, sf), RES), XYZ)
 
 
 # --- scores ------------------------------------------------------------------------------------------
@@ -687,9 +712,13 @@ def ndt13(spark, sf):
     return rounded(scoring.pair_derivatives(pairs, D1, DD2), scoring.TERMS, 4).select("point_id", *KEY, *scoring.TERMS)
 
 
-@query("ndt14_plane_derivatives")
+PLANES = "grid AS (SELECT vx, vy, vz, n, mx, my, mz, " + ", ".join(f"p1{c[1:]} AS {c}" for c in voxel.INV) + " FROM pr)"
+
+
+@query("ndt14_plane_derivatives", W.with_views("points scan cells gauss", "SELECT " + ", ".join(f"{R(f'sum({e})', 3)} AS {n}" for n, e in TERMS_SQL.items()) + ", count(*) AS pairs FROM pd", *LATENT, PLANES, *DERIV_VIEWS))
 def ndt14(spark, sf):
-    return scoring.total_derivatives(W.scan(spark, sf), voxel.grid(W.points(spark, sf), RES), W.POSE, RES, "plane")
+    """To planes: the inverse is the square of the normal."""
+    return rounded(scoring.total_derivatives(W.scan(spark, sf), voxel.grid(W.points(spark, sf), RES), W.POSE, RES, "plane"), scoring.TERMS, 3)
 
 
 @query("ndt15_total_derivatives", W.with_views("points scan cells gauss dets grid", "SELECT " + ", ".join(f"{R(f'sum({e})', 3)} AS {n}" for n, e in TERMS_SQL.items()) + ", count(*) AS pairs FROM pd", *DERIV_VIEWS))
@@ -719,18 +748,20 @@ def opt6(spark, sf):
     W.with_views(
         "points",
         f"SELECT candidate_id, {R('max(CASE WHEN good THEN l END) - 5*max(CASE WHEN NOT good THEN l END)', 4)} AS ratio FROM p GROUP BY candidate_id",
-        "c AS (SELECT point_id AS candidate_id, x, y, z AS yaw FROM points WHERE point_id % 25 = 0)",
-        "t AS (SELECT row_number() OVER (ORDER BY point_id) AS rank, x, y, z AS yaw FROM points WHERE point_id % 11 = 1 AND point_id < 330)",
-        f"m AS (SELECT candidate_id, rank <= 3 AS good, -0.5*((c.x-t.x)/0.5)*((c.x-t.x)/0.5) - ln(0.5*sqrt(2*pi())) - 0.5*((c.y-t.y)/0.5)*((c.y-t.y)/0.5) - ln(0.5*sqrt(2*pi())) - 0.5*({WRAP('c.yaw-t.yaw')}/0.3)*({WRAP('c.yaw-t.yaw')}/0.3) - ln(0.3*sqrt(2*pi())) AS g FROM c, t)",
+        "c AS (SELECT point_id AS candidate_id, x, y, z AS yaw FROM points)",
+        "t AS (SELECT row_number() OVER (ORDER BY x DESC, point_id) AS rank, x, y, z AS yaw FROM points ORDER BY x DESC, point_id LIMIT 200)",
+        f"m AS (SELECT candidate_id, rank <= 10 AS good, -0.5*((c.x-t.x)/0.5)*((c.x-t.x)/0.5) - ln(0.5*sqrt(2*pi())) - 0.5*((c.y-t.y)/0.5)*((c.y-t.y)/0.5) - ln(0.5*sqrt(2*pi())) - 0.5*({WRAP('c.yaw-t.yaw')}/0.3)*({WRAP('c.yaw-t.yaw')}/0.3) - ln(0.3*sqrt(2*pi())) AS g FROM c, t)",
         "top AS (SELECT candidate_id, good, max(g) AS top FROM m GROUP BY 1, 2)",
         "p AS (SELECT candidate_id, good, max(top) + ln(sum(exp(g-top))/count(*)) AS l FROM m JOIN top USING (candidate_id, good) GROUP BY 1, 2)",
     ),
 )
 def opt15(spark, sf):
+    """All points as candidates against the 200 trials that a search has, the best ones by score (x)."""
     points = W.points(spark, sf)
-    candidates = points.filter("point_id % 25 = 0").select(F.col("point_id").alias("candidate_id"), "x", "y", F.col("z").alias("yaw"))
-    trials = voxel.numbered(points.filter("point_id % 11 = 1 AND point_id < 330"), ["point_id"], name="rank").select((F.col("rank") + 1).alias("rank"), "x", "y", F.col("z").alias("yaw"))
-    return search.density_ratio(candidates, trials, (0.5, 0.5, 0.3), 3).select("candidate_id", r("ratio", 4).alias("ratio"))
+    candidates = points.select(F.col("point_id").alias("candidate_id"), "x", "y", F.col("z").alias("yaw"))
+    best = points.orderBy(F.col("x").desc(), "point_id").limit(200)
+    trials = best.select(F.row_number().over(Window.orderBy(F.col("x").desc(), "point_id")).alias("rank"), "x", "y", F.col("z").alias("yaw"))
+    return search.density_ratio(candidates, trials, (0.5, 0.5, 0.3), search.good_count(200)).select("candidate_id", r("ratio", 4).alias("ratio"))
 
 
 @query("src14_half_cube", "SELECT count(*) AS n, " + ", ".join(f"{R(f'sum({a})', 1)} AS s{a}" for a in "xyz") + " FROM (SELECT u AS x, v AS y, 0.0 AS z FROM g, h UNION ALL SELECT 0.0, u, v FROM g, h UNION ALL SELECT u, 0.0, v FROM g, h)")

@@ -141,9 +141,9 @@ def agg29(spark, sf):
 # --- flags ---------------------------------------------------------------------------------------------
 
 
-@query("fil9_positive_times", W.with_views("ev log", "SELECT seq FROM log WHERE exe_time_ms > 0.5"))
+@query("fil9_positive_times", W.with_views("ev log", "SELECT seq FROM log WHERE exe_time_ms > 0"))
 def fil9(spark, sf):
-    return W.log(spark, sf).filter("exe_time_ms > 0.5").select("seq")
+    return W.log(spark, sf).filter("exe_time_ms > 0").select("seq")
 
 
 @query("fil10_quality_flags", W.with_views("ev log", "SELECT seq, concat_ws(',', CASE WHEN total_iterations > 15 THEN 'high_iter' END, CASE WHEN exe_time_ms < 2.5 THEN 'low_nvtl' END, CASE WHEN seq < 7000 THEN 'low_corr' END) AS flags FROM log"))
@@ -210,24 +210,48 @@ def joi10(spark, sf):
     return rounded(found, ["x", "y", "z"]).select("seq", "x", "y", "z")
 
 
-@query("joi10_interpolated_orientation")
+ARC = (
+    BRACKETS[0],
+    "one AS (SELECT t_ns, max(seq) AS seq, arg_max(x, seq) AS x, arg_max(y, seq) AS y, arg_max(z, seq) AS z, arg_max(qz, seq) AS qz, arg_max(qw, seq) AS qw FROM ref GROUP BY t_ns)",
+    BRACKETS[2].replace("p.x AS px", "p.qz AS az, p.qw AS aw, coalesce(n.qz, p.qz) AS bz, coalesce(n.qw, p.qw) AS bw, p.x AS px"),
+    BRACKETS[3],
+    "arc AS (SELECT *, az*bz + aw*bw AS c, acos(least(abs(az*bz + aw*bw), 1.0)) AS angle FROM ok)",
+    "wt AS (SELECT *, CASE WHEN abs(c) > 0.9995 THEN 1 - f ELSE sin((1 - f)*angle)/sin(angle) END AS wa, CASE WHEN c < 0 THEN -1 ELSE 1 END * CASE WHEN abs(c) > 0.9995 THEN f ELSE sin(f*angle)/sin(angle) END AS wb FROM arc)",
+    "mixed AS (SELECT *, wa*az + wb*bz AS uz, wa*aw + wb*bw AS uw FROM wt)",
+)
+
+
+@query("joi10_interpolated_orientation", in_time(f"SELECT seq, {R('px + f*(nx-px)')} AS x, 0.0 AS qx, {R('uz/sqrt(uz*uz+uw*uw)')} AS qz, {R('uw/sqrt(uz*uz+uw*uw)')} AS qw FROM mixed", *ARC))
 def joi10q(spark, sf):
     ref, test = two(spark, sf)
-    return timeline.interpolated(test.select("seq", "t_ns"), ref, timeout_ns=TOLERANCE, jump=60.0, slice_ns=SLICE)
+    found = timeline.interpolated(test.select("seq", "t_ns"), ref, timeout_ns=TOLERANCE, jump=60.0, slice_ns=SLICE)
+    return rounded(found, ["x", "qx", "qz", "qw"]).select("seq", "x", "qx", "qz", "qw")
 
 
-TF_EDGES = [("map", "base", 1_000, False, 1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 1.0), ("map", "base", 3_000, False, 3.0, 2.0, 0.0, 0.0, 0.0, 0.6, 0.8), ("/base", "lidar", 0, True, 0.5, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0), ("base", "gnss", 0, True, -0.5, 0.2, 0.0, 0.0, 0.0, 0.0, 1.0)]
-TF_QUERIES = [(1, "base", "map", 1_200), (2, "base", "map", None), (3, "lidar", "gnss", 5_000), (4, "map", "base", 2_900), (5, "base", "/base", 7), (6, "lidar", "moon", 7), (7, "base", "map", 20_000_000_000)]
+WAYS = (("view", "map"), ("map", "click"), ("/view", "click"), ("map", "/map"), ("view", "moon"))
 
 
 @query(
     "joi11_transform_lookup",
-    "SELECT * FROM (VALUES (1, 'direct', false, CAST(1.0 AS DOUBLE), CAST(2.0 AS DOUBLE), CAST(0.0 AS DOUBLE)), (2, 'direct', false, 3.0, 2.0, 0.0), (3, 'common', false, 1.0, -0.2, 1.0), (4, 'inverse', false, -2.76, 2.32, 0.0), (5, 'same', false, 0.0, 0.0, 0.0), (6, NULL, NULL, NULL, NULL, NULL), (7, 'direct', true, 3.0, 2.0, 0.0)) t(query_id, way, is_stale, x, y, z)",
+    in_time(
+        f"SELECT query_id, way, CASE way WHEN 'same' THEN FALSE WHEN 'direct' THEN v_stale WHEN 'inverse' THEN c_stale WHEN 'common' THEN v_stale OR c_stale END AS is_stale, {R('CAST(ox AS DOUBLE)')} AS x, {R('CAST(oy AS DOUBLE)')} AS y, {R('CAST(oz AS DOUBLE)')} AS z, {R('CAST(oqz AS DOUBLE)')} AS qz, {R('CAST(oqw AS DOUBLE)')} AS qw FROM o",
+        "asked AS (SELECT seq AS query_id, seq % 5 AS w, CASE WHEN k % 5 = 0 THEN NULL ELSE t_ns END AS t FROM ev WHERE kind = 'purchase')",
+        *[
+            f"near_{n} AS (SELECT * FROM (SELECT a.query_id, r.t_ns AS s, r.x, r.y, r.z, r.qz, r.qw, row_number() OVER (PARTITION BY a.query_id ORDER BY CASE WHEN a.t IS NULL THEN -r.t_ns ELSE abs(r.t_ns - a.t) END, r.t_ns, r.x) AS nth FROM asked a, {n} r) WHERE nth = 1)"
+            for n in ("ref", "test")
+        ],
+        "m AS (SELECT a.*, v.x AS vx, v.y AS vy, v.z AS vz, v.qz AS vqz, v.qw AS vqw, c.x AS cx, c.y AS cy, c.z AS cz, c.qz AS cqz, c.qw AS cqw, t IS NOT NULL AND abs(v.s - t) > 10000000000 AS v_stale, t IS NOT NULL AND abs(c.s - t) > 10000000000 AS c_stale, CASE w WHEN 0 THEN 'direct' WHEN 1 THEN 'inverse' WHEN 2 THEN 'common' WHEN 3 THEN 'same' END AS way, c.qw*c.qw - c.qz*c.qz AS co, 2*c.qw*c.qz AS si FROM asked a JOIN near_ref v USING (query_id) JOIN near_test c USING (query_id))",
+        "o AS (SELECT *, CASE way WHEN 'same' THEN 0 WHEN 'direct' THEN vx WHEN 'inverse' THEN -(co*cx + si*cy) WHEN 'common' THEN co*(vx-cx) + si*(vy-cy) END AS ox, CASE way WHEN 'same' THEN 0 WHEN 'direct' THEN vy WHEN 'inverse' THEN si*cx - co*cy WHEN 'common' THEN -si*(vx-cx) + co*(vy-cy) END AS oy, CASE way WHEN 'same' THEN 0 WHEN 'direct' THEN vz WHEN 'inverse' THEN -cz WHEN 'common' THEN vz-cz END AS oz, CASE way WHEN 'same' THEN 0 WHEN 'direct' THEN vqz WHEN 'inverse' THEN -cqz WHEN 'common' THEN cqw*vqz - cqz*vqw END AS oqz, CASE way WHEN 'same' THEN 1 WHEN 'direct' THEN vqw WHEN 'inverse' THEN cqw WHEN 'common' THEN cqw*vqw + cqz*vqz END AS oqw FROM m)",
+    ),
 )
 def joi11(spark, sf):
-    edges = spark.createDataFrame(TF_EDGES, "parent string, child string, stamp_ns long, is_static boolean, x double, y double, z double, qx double, qy double, qz double, qw double")
-    asked = spark.createDataFrame(TF_QUERIES, "query_id int, source string, target string, t_ns long")
-    return rounded(timeline.transforms(asked, edges), ["x", "y", "z"]).select("query_id", "way", "is_stale", "x", "y", "z")
+    """Each purchase asks for a transform at its time (or the latest) between frames that views and clicks move in the map."""
+    edge = lambda name: W.trajectory(spark, sf, name).select(F.lit("map").alias("parent"), F.lit(name).alias("child"), F.col("t_ns").alias("stamp_ns"), F.lit(False).alias("is_static"), "x", "y", "z", "qx", "qy", "qz", "qw")
+    way = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target")) for s, t in WAYS])[F.col("seq").cast("int") % 5]
+    asked = W.events(spark, sf).filter("kind = 'purchase'").withColumn("way", way)
+    asked = asked.select(F.col("seq").alias("query_id"), "way.source", "way.target", F.when(F.col("k") % 5 != 0, F.col("t_ns")).alias("t_ns"))
+    found = timeline.transforms(asked, edge("view").union(edge("click")), slice_ns=SLICE)
+    return rounded(found, ["x", "y", "z", "qz", "qw"]).select("query_id", "way", "is_stale", "x", "y", "z", "qz", "qw")
 
 
 @query("joi12_positional", in_time("SELECT place, a.seq AS a_seq, b.seq AS b_seq FROM (SELECT seq, row_number() OVER (ORDER BY t_ns, seq) - 1 AS place FROM ref) a JOIN (SELECT seq, row_number() OVER (ORDER BY t_ns, seq) - 1 AS place FROM test) b USING (place)"))
@@ -474,7 +498,7 @@ def snk6(spark, sf):
 
 
 def particles(spark, sf):
-    e = W.events(spark, sf).filter("user_id < 20")
+    e = W.events(spark, sf)
     return e.select(F.col("user_id").alias("search_id"), F.col("seq").alias("particle_id"), F.col("value").alias("score"), F.col("k").alias("iterations"), *[(F.col("value") * w).alias(n) for n, w in (("x", 1), ("y", 2), ("z", 3), ("ix", 4), ("iy", 5), ("iz", 6))])
 
 
@@ -483,7 +507,7 @@ def particles(spark, sf):
     W.with_views(
         "ev",
         f"SELECT search_id, particle_id, {R('1 - s')} AS r, {R('s')} AS g, CAST(CASE WHEN particle_id = best THEN 1.0 ELSE 0.7 END AS DOUBLE) AS a FROM n",
-        "p AS (SELECT user_id AS search_id, seq AS particle_id, value AS score FROM ev WHERE user_id < 20)",
+        "p AS (SELECT user_id AS search_id, seq AS particle_id, value AS score FROM ev)",
         "n AS (SELECT search_id, particle_id, least(1.0, greatest(0.0, (score - min(score) OVER s) / greatest(max(score) OVER s - min(score) OVER s, 0.001))) AS s, first_value(particle_id) OVER (PARTITION BY search_id ORDER BY score DESC, particle_id DESC) AS best FROM p WINDOW s AS (PARTITION BY search_id))",
     ),
 )
@@ -546,16 +570,35 @@ def queue_scans(spark, sf):
     return e.select(F.col("kind").alias("source"), F.col("seq").alias("scan_id"), (F.col("t_ns") / 1e10).alias("arrival_ms"), (F.col("t_ns") / 1e10 - F.col("value")).alias("stamp_ms"))
 
 
-@query("str5_scan_queue")
+QUEUE_SQL = W.with_views(
+    "ev",
+    f"SELECT m.source, s.batch, m.scan_id, {R('m.a', 4)} AS arrival_ms, {R('x.fired', 4)} AS fired_ms, 'aligned' AS fate FROM starts s JOIN sized x ON x.source = s.source AND x.n = s.n JOIN sized m ON m.source = s.source AND m.n BETWEEN s.n AND s.n + x.size - 1 UNION ALL SELECT kind, NULL, seq, {R('a', 4)}, {R('a', 4)}, 'too old' FROM arrived WHERE a - (a - value) > 100",
+    "arrived AS (SELECT kind, seq, value, t_ns / 1e10 AS a FROM ev)",
+    "numbered AS (SELECT kind AS source, seq AS scan_id, a, row_number() OVER (PARTITION BY kind ORDER BY a, seq) AS n FROM arrived WHERE NOT a - (a - value) > 100)",
+    "led AS (SELECT *, lead(a, 1) OVER w AS l1, lead(a, 2) OVER w AS l2, lead(a, 3) OVER w AS l3 FROM numbered WINDOW w AS (PARTITION BY source ORDER BY n))",
+    "sized AS (SELECT *, 1 + coalesce(CAST(l1 - a < 20 AS INTEGER), 0) + coalesce(CAST(l2 - a < 20 AS INTEGER), 0) + coalesce(CAST(l3 - a < 20 AS INTEGER), 0) AS size, CASE WHEN l3 - a < 20 THEN l3 ELSE a + 20 END AS fired FROM led)",
+    "starts AS (SELECT source, n, CAST(0 AS BIGINT) AS batch FROM sized WHERE n = 1 UNION ALL SELECT s.source, y.n, s.batch + 1 FROM starts s JOIN sized x ON x.source = s.source AND x.n = s.n JOIN sized y ON y.source = s.source AND y.n = s.n + x.size)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("str5_scan_queue", QUEUE_SQL)
 def str5(spark, sf):
-    return P.queued(queue_scans(spark, sf))
+    return rounded(P.queued(queue_scans(spark, sf)), ["arrival_ms", "fired_ms"], 4)
 
 
 def positions(spark, sf):
     return W.events(spark, sf).select(F.col("kind").alias("source"), "seq", F.col("value").alias("x"), (F.col("k") * 1.0).alias("y"))
 
 
-@query("str7_map_refresh")
+@query(
+    "str7_map_refresh",
+    W.with_views(
+        "ev",
+        "SELECT p.source, p.seq, p.x, p.y, a.n IS NOT NULL AS refresh, CAST(count(a.n) OVER (PARTITION BY p.source ORDER BY p.n) AS BIGINT) AS updates FROM p LEFT JOIN asks a ON a.source = p.source AND a.n = p.n",
+        "p AS (SELECT kind AS source, seq, value AS x, k * 1.0 AS y, row_number() OVER (PARTITION BY kind ORDER BY seq) AS n FROM ev)",
+        "asks AS (SELECT source, n, x, y FROM p WHERE n = 1 UNION ALL SELECT f.source, f.n, f.x, f.y FROM (SELECT a.source, min(p.n) AS n, arg_min(p.x, p.n) AS x, arg_min(p.y, p.n) AS y FROM asks a JOIN p ON p.source = a.source AND p.n > a.n AND (p.x - a.x)*(p.x - a.x) + (p.y - a.y)*(p.y - a.y) > 400 GROUP BY a.source) f)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def str7(spark, sf):
     return P.refresh_batch(positions(spark, sf))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cairn.operators import voxel as V
+
 ITERATION = (
     "struct<iteration: bigint, pose: array<double>, gradient: array<double>, hessian: array<double>, score: double, nvtl: double, newton_step: array<double>, "
     "newton_step_norm: double, step_direction: array<double>, directional_derivative: double, direction_reversed: boolean, used_line_search: boolean, "
@@ -80,12 +82,30 @@ def voxels_of(dumps: DataFrame) -> DataFrame:
     )
 
 
-def dump_voxels(grid: DataFrame, resolution: float) -> DataFrame:
-    """The JSON of a grid, sorted by key (one document, as its readers expect)."""
+def voxel_lines(grid: DataFrame, resolution: float) -> DataFrame:
+    """(place, line): the JSON document of a grid, voxels sorted by key, as lines in order: a head, one line for each voxel, an end."""
     full = lambda p: F.array(*[F.array(*[F.col(p + "".join(sorted((a, b)))) for b in "xyz"]) for a in "xyz"])
     voxel = F.struct(F.array("mx", "my", "mz").alias("mean"), full("c").alias("cov"), full("i").alias("inv_cov"), F.col("n").alias("point_count"))
-    every = grid.agg(F.array_sort(F.collect_list(F.struct("vx", "vy", "vz", voxel.alias("v")))).alias("all"))
-    return every.select(F.to_json(F.struct(F.lit(float(resolution)).alias("resolution"), F.size("all").alias("num_voxels"), F.transform("all", lambda v: v["v"]).alias("voxels"))).alias("json"))
+    count = F.lit(1).cast("long")
+    rows = V.in_order(grid, count, ["vx", "vy", "vz"], "place", total="__n")
+    comma = F.when(F.col("place") < F.col("__n"), ",").otherwise("")
+    lines = rows.select("place", F.concat(F.to_json(voxel), comma).alias("line"))
+    ends = grid.agg(F.count(F.lit(1)).alias("n"))
+    head = ends.select(F.lit(0).cast("long").alias("place"), F.concat(F.lit(f'{{"resolution":{float(resolution)},"num_voxels":'), F.col("n"), F.lit(',"voxels":[')).alias("line"))
+    tail = ends.select((F.col("n") + 1).alias("place"), F.lit("]}").alias("line"))
+    return head.union(lines).union(tail)
+
+
+def line_voxels(lines: DataFrame, resolution: float) -> DataFrame:
+    """The voxels of a document's lines, each read by itself."""
+    voxel = "mean array<double>, cov array<array<double>>, inv_cov array<array<double>>, point_count bigint"
+    rows = lines.filter(F.col("line").startswith('{"mean"')).select(F.lit(float(resolution)).alias("resolution"), F.array(F.from_json(F.regexp_replace("line", ",$", ""), voxel)).alias("voxels"))
+    return voxels_of(rows)
+
+
+def dump_voxels(grid: DataFrame, resolution: float, path: str) -> None:
+    """Writes the document: files of lines that make it when read in the order of their names."""
+    voxel_lines(grid, resolution).repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
 
 
 # --- metrics in text -----------------------------------------------------------------------------

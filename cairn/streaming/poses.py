@@ -83,7 +83,7 @@ def toggled(poses: DataFrame, switches: DataFrame, by: list[str], order: str) ->
 
 
 def keep_last(rows: DataFrame, by: list[str], order: str, n: int = 1) -> DataFrame:
-    """What a subscription that keeps its last ``n`` messages holds."""
+    """What a subscription that keeps its last ``n`` messages holds. Each task limits its rows before they are moved."""
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc()))
     return rows.withColumn("__n", nth).filter(F.col("__n") <= n).drop("__n")
 
@@ -106,8 +106,10 @@ def subscribe(stream: DataFrame, by: list[str], order: str, n: int, held: str):
 def ring(transforms: DataFrame, size: int = 100) -> DataFrame:
     """What is kept of each edge: the last ``size`` samples by arrival, of static edges the last one."""
     nth = F.row_number().over(Window.partitionBy("parent", "child").orderBy(F.col("seq").desc()))
-    static = F.max_by("is_static", "seq").over(Window.partitionBy("parent", "child"))
-    return transforms.withColumn("__n", nth).withColumn("__s", static).filter((F.col("__n") <= F.when(F.col("__s"), 1).otherwise(size))).drop("__n", "__s")
+    # each task limits its rows before they are moved, so an edge's window holds that many from each
+    last = transforms.withColumn("__n", nth).filter(F.col("__n") <= size)
+    static = F.max(F.col("is_static") & (F.col("__n") == 1)).over(Window.partitionBy("parent", "child"))
+    return last.withColumn("__s", static).filter((F.col("__n") == 1) | ~F.col("__s")).drop("__n", "__s")
 
 
 # --- scan queue ----------------------------------------------------------------------------------

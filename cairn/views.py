@@ -22,8 +22,8 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Every seventh point, as a scan of the map that all points make."""
-    return points(spark, sf).filter("point_id % 7 = 0")
+    """The points again, as a scan of the map that they make."""
+    return points(spark, sf)
 
 
 def bulk(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,7 @@ def trajectory(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 SQL = {
     "points": "points AS (SELECT label AS cloud_id, vec_id AS point_id, 10 * CAST(embedding[1] AS DOUBLE) AS x, 10 * CAST(embedding[2] AS DOUBLE) AS y, 10 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)",
-    "scan": "scan AS (SELECT * FROM points WHERE point_id % 7 = 0)",
+    "scan": "scan AS (SELECT * FROM points)",
     "bulk": "bulk AS (SELECT l_returnflag AS cloud_id, l_orderkey * 8 + l_linenumber AS point_id, l_quantity AS x, l_extendedprice / 1000 AS y, 100 * l_discount AS z FROM lineitem)",
     "poses": "poses(pose_id, tx, ty, tz, roll, pitch, yaw) AS (VALUES " + ", ".join("(" + ", ".join([str(p[0]), *[f"CAST({v!r} AS DOUBLE)" for v in p[1:]]]) + ")" for p in POSES) + ")",
     "ev": "ev AS (SELECT event_id AS seq, epoch_us(ts) * 1000 AS t_ns, event_type AS kind, user_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
