@@ -302,6 +302,16 @@ def maximise(evaluate: Callable[[np.ndarray], Evaluation], start, settings: Sett
 # --- derivatives in NumPy --------------------------------------------------------------------------
 
 
+#: A symmetric 3 x 3 matrix as six numbers, and where they stand.
+UPPER = np.triu_indices(3)
+SIX = np.array([[0, 1, 2], [1, 3, 4], [2, 4, 5]])
+
+
+def monomials(points: np.ndarray) -> np.ndarray:
+    """1, the coordinates and their six products: all that sums over points need of them."""
+    return np.concatenate([np.ones((len(points), 1)), points, points[:, UPPER[0]] * points[:, UPPER[1]]], axis=1)
+
+
 class Arrays:
     """A Gaussian grid for lookups inside a task: packed cell keys, sorted."""
 
@@ -312,61 +322,72 @@ class Arrays:
         order = np.argsort(key)
         self.key = key[order]
         self.mean = grid[list(V.MEANS)].to_numpy(float)[order]
-        upper = np.triu_indices(3)
-        self.weight = np.zeros((len(grid), 3, 3))
         if metric == "plane":
             normal = grid[["nx", "ny", "nz"]].to_numpy(float)[order]
-            self.weight = np.einsum("ni,nj->nij", normal, normal)
+            self.weight = normal[:, UPPER[0]] * normal[:, UPPER[1]]
         else:
-            inverse = grid[list(V.INV)].to_numpy(float)[order]
-            self.weight[:, upper[0], upper[1]] = inverse
-            self.weight[:, upper[1], upper[0]] = inverse
+            self.weight = grid[list(V.INV)].to_numpy(float)[order]
 
     @staticmethod
     def pack(cells: np.ndarray) -> np.ndarray:
         shifted = cells + G.AXIS_BIAS
         return (shifted[..., 0] << 2 * G.AXIS_BITS) | (shifted[..., 1] << G.AXIS_BITS) | shifted[..., 2]
 
-    def pairs(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of points and voxels whose mean is within the resolution."""
+    def pairs(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers of points, ascending, and of voxels whose mean is within the resolution, and the gaps (3, n). Neighbours are looked up once for each cell that holds points."""
+        if not len(self.key) or not len(points):
+            return np.zeros(0, int), np.zeros(0, int), np.zeros((3, 0))
         offsets = np.stack(np.meshgrid(*[np.arange(-1, 2)] * 3, indexing="ij"), -1).reshape(-1, 3)
-        cells = np.floor(points / self.resolution).astype(np.int64)
-        keys = self.pack(cells[:, None, :] + offsets)
-        at = np.minimum(np.searchsorted(self.key, keys), max(len(self.key) - 1, 0))
-        if not len(self.key):
-            return np.zeros(0, int), np.zeros(0, int)
-        row, which = np.nonzero(self.key[at] == keys)
-        voxel = at[row, which]
-        near = ((points[row] - self.mean[voxel]) ** 2).sum(axis=1) <= self.resolution**2
-        return row[near], voxel[near]
+        # a packed key plus a packed step is the neighbour's key
+        steps = (offsets[:, 0] << 2 * G.AXIS_BITS) + (offsets[:, 1] << G.AXIS_BITS) + offsets[:, 2]
+        cell, own = np.unique(self.pack(np.floor(points / self.resolution).astype(np.int64)), return_inverse=True)
+        keys = cell[:, None] + steps
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        known = self.key[at] == keys
+        size = known.sum(axis=1)
+        start = np.cumsum(size) - size
+        each = size[own]
+        row = np.repeat(np.arange(len(points)), each)
+        voxel = at[known][np.repeat(start[own] - np.cumsum(each) + each, each) + np.arange(len(row))]
+        gap = np.stack([points[:, k][row] - self.mean[:, k][voxel] for k in range(3)])
+        near = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= self.resolution**2
+        return row[near], voxel[near], gap[:, near]
+
+    def pulls(self, voxel: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair the voxel's weights (6, n), the weighted gap (3, n), and exp(-d2 / 2 energy)."""
+        w = self.weight.T[:, voxel]
+        pull = np.stack([w[SIX[i, 0]] * gap[0] + w[SIX[i, 1]] * gap[1] + w[SIX[i, 2]] * gap[2] for i in range(3)])
+        return w, pull, np.exp(-self.d2 / 2 * (gap * pull).sum(axis=0))
 
     def evaluate(self, points: np.ndarray, pose: np.ndarray) -> Evaluation:
+        """Score and derivatives. A pair's part in them is a 3-vector and a symmetric 3 x 3 matrix; summed with the monomials of its point (two
+        matrix products over the pairs) they give every entry, as the Jacobian is linear in the point."""
         exact, *_ = G.rotation_terms(*pose[3:], tiny=0.0)
         _, first, second = G.rotation_terms(*pose[3:])
-        row, voxel = self.pairs(points @ exact.T + pose[:3])
-        own = points[row]
-        gap = own @ exact.T + pose[:3] - self.mean[voxel]
-        weight = self.weight[voxel]
-        pull = np.einsum("nij,nj->ni", weight, gap)
-        power = np.exp(-self.d2 / 2 * (gap * pull).sum(axis=1))
+        moved = points @ exact.T + pose[:3]
+        row, voxel, gap = self.pairs(moved)
+        w, pull, power = self.pulls(voxel, gap)
         good = (self.d2 * power >= 0) & (self.d2 * power <= 1)
         factor = np.where(good, self.d1 * self.d2 * power, 0.0)
-        jacobian = np.zeros((len(row), 3, 6))
-        jacobian[:, :, :3] = np.eye(3)
-        jacobian[:, :, 3:] = np.einsum("aij,nj->nia", first, own)
-        turn = np.einsum("ni,nik->nk", pull, jacobian)
-        hessian = np.einsum("n,nk,nl->kl", -self.d2 * factor, turn, turn) + np.einsum("n,nik,nij,njl->kl", factor, jacobian, weight, jacobian, optimize=True)
-        hessian[3:, 3:] += np.einsum("n,ni,abij,nj->ab", factor, pull, second, own, optimize=True)
-        return Evaluation(float(-self.d1 * power[good].sum()), factor @ turn, hessian, len(row))
+        curve = factor * (w - self.d2 * pull[UPPER[0]] * pull[UPPER[1]])
+        own = monomials(points)[row]
+        force, bend = (factor * pull) @ own[:, :4], (curve @ own)[SIX]
+        first, second = np.asarray(first), np.asarray(second)
+        gradient = np.concatenate([force[:, 0], np.einsum("ail,il->a", first, force[:, 1:])])
+        hessian = np.empty((6, 6))
+        hessian[:3, :3] = bend[..., 0]
+        hessian[:3, 3:] = np.einsum("ikl,akl->ia", bend[..., 1:4], first)
+        hessian[3:, :3] = hessian[:3, 3:].T
+        hessian[3:, 3:] = np.einsum("ail,iklm,bkm->ab", first, bend[..., 4:][..., SIX], first) + np.einsum("abil,il->ab", second, force[:, 1:])
+        return Evaluation(float(-self.d1 * power[good].sum()), gradient, hessian, len(row))
 
     def nvtl(self, points: np.ndarray, pose: np.ndarray) -> float:
         """The mean over matched points of their best score."""
         exact, *_ = G.rotation_terms(*pose[3:], tiny=0.0)
         moved = points @ exact.T + pose[:3]
-        row, voxel = self.pairs(moved)
-        gap = moved[row] - self.mean[voxel]
-        score = -self.d1 * np.exp(-self.d2 / 2 * np.einsum("ni,nij,nj->n", gap, self.weight[voxel], gap))
-        best = np.full(len(points), -math.inf)
-        np.maximum.at(best, row, score)
-        found = best[np.isfinite(best)]
-        return float(found.mean()) if len(found) else 0.0
+        row, voxel, gap = self.pairs(moved)
+        if not len(row):
+            return 0.0
+        *_, power = self.pulls(voxel, gap)
+        best = np.maximum.reduceat(-self.d1 * power, np.flatnonzero(np.append(True, row[1:] != row[:-1])))
+        return float(best.mean())
