@@ -184,17 +184,20 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
     distance the language first by name wins. Columns of ``df`` with the names of the new ones are replaced.
     """
     C.text_batches(df.sparkSession)
-    kept = df.drop(lang_out, score_out)
-    at, names_out = kept.columns.index(text_col), [*kept.columns, lang_out, score_out]
+    kept = [c for c in df.columns if c not in (lang_out, score_out)]
+    at = kept.index(text_col)
+    # one column of all, as names may be such that they can't be told apart from paths
+    rows = df.select(F.struct(*[C.column(c) for c in kept]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor(profiles)
         for batch in batches:
-            names, scores = predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names_out)
+            names, scores = predict(batch.column(0).field(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang", "score"])
 
-    new = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
+    new = [T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new]))
+    return found.select("row.*", F.col("lang").alias(lang_out), F.col("score").alias(score_out))
 
 
 def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

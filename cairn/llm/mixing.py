@@ -116,6 +116,11 @@ def mix(df: DataFrame, seed: int = 11, weights=WEIGHTS, share: float = SHARE, mo
     return Mix(rows, sources, slots)
 
 
+def shard_counts(plan: Mix) -> DataFrame:
+    """(shard, __key, slots): how many slots of each output shard each source fills, by the plan's one draw."""
+    return plan.slots.groupBy("shard", "__key").agg(F.count(F.lit(1)).alias("slots"))
+
+
 def parts(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """A row for each block that a row of ``Mix.rows`` has words in: ``block``, ``__from`` (the row's word there, from 0), ``__words``."""
     first, last = F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("__size") - 1) / block)

@@ -193,6 +193,16 @@ def test_shards_have_multinomial_counts(spark, data):
     assert abs(z.to_numpy()).max() < 5 and z.to_numpy().std() > 0.3
 
 
+def test_counts_of_shards(spark, data):
+    """Every shard but the last is full, and the sources' slots are those of their targets."""
+    plan = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"))
+    counts = mixing.shard_counts(plan).toPandas()
+    full = counts.groupby("shard")["slots"].sum().sort_index()
+    assert (full.iloc[:-1] == mixing.SHARD_SLOTS).all() and 0 < full.iloc[-1] <= mixing.SHARD_SLOTS
+    targets = {r["__key"]: r["target"] for r in plan.sources.collect()}
+    assert all(abs(n * mixing.BLOCK_WORDS - targets[k]) <= 3 * mixing.BLOCK_WORDS for k, n in counts.groupby("__key")["slots"].sum().items())
+
+
 def test_mixed_documents_are_what_is_taken(spark):
     rng = np.random.default_rng(4)
     rows = [(k, "\n".join(f"w{k}_{i}" for i in range(rng.integers(0, 400))), "en", "abc"[k % 3]) for k in range(30)]
@@ -250,6 +260,20 @@ def best_fit(lengths, capacity):
     return sorted(rooms)
 
 
+def test_ids_are_those_of_the_named_file():
+    """Over every whole text of the largest table that comes with the tests."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(*packing.default_tokenizer()).encode_ordinary
+    texts = real("/root/testdata/sf0.1")["text"].tolist() + ["a" * 300_000, " \n" * 10_000, "\u00e9\U0001f600" * 1000]
+    for start in range(0, len(texts), 500):
+        some = texts[start : start + 500]
+        assert [e.ids for e in named.encode_batch(some, add_special_tokens=False)] == [encode(t) for t in some]
+
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_best_fit(seed):
     rng = np.random.default_rng(seed)

@@ -344,6 +344,15 @@ def test_small_batches_give_the_same(spark, monkeypatch, tmp_path):
         assert hit.get(k, []) == want
 
 
+def test_repeats_of_a_whole_table(spark, data):
+    """Whatever a document loses repeats word for word elsewhere, and nothing that does is left."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{data}/documents.parquet' ORDER BY doc_id").fetchall()]
+    rows = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.op9_repeats(spark, data).collect()}
+    assert [rows[k] for k in sorted(rows)] == without_repeats(texts)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
     rows = repeats.remove_repeats(docs(spark, [None, ""])).collect()
