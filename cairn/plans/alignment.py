@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from . import newton
 from .newton import Arrays, Evaluation, Outcome, Settings
 
 POSE = ("tx", "ty", "tz", "roll", "pitch", "yaw")
+KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 RESULT = "scan_id string, start_id long, status string, iterations int, score double, tp_per_point double, nvtl double, pairs long, oscillations int, " + ", ".join(f"{c} double" for c in POSE) + ", hessian array<double>"
+OUT = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in RESULT.split(", ")])
 
 
 def align(points: DataFrame, grid: DataFrame, start, settings: Settings = Settings()) -> Outcome:
@@ -69,17 +72,18 @@ def align_many(scans: DataFrame, starts: DataFrame, grid: DataFrame, settings: S
     points = scans.select("scan_id", *V.XYZ).join(starts, "scan_id")
     columns = list(grid.columns)
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame()
-        own = left[list(V.XYZ)].to_numpy(float)
-        arrays = Arrays(right[columns], settings.resolution, settings.metric, settings.outliers)
-        found = newton.maximise(lambda p: arrays.evaluate(own, p), left[list(POSE)].iloc[0].to_numpy(float), settings)
-        values = [key[0], key[1], found.status, found.iterations, found.score, found.score / len(own), arrays.nvtl(own, found.pose), found.pairs, found.oscillations, *found.pose, found.hessian.reshape(-1).tolist()]
-        return pd.DataFrame([values], columns=[c.split()[0] for c in RESULT.split(", ")])
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            own = np.column_stack([left.column(c).to_numpy() for c in V.XYZ])
+            start = np.array([left.column(c)[0].as_py() for c in POSE])
+            arrays = Arrays(right.select(columns).to_pandas(), settings.resolution, settings.metric, settings.outliers)
+            found = newton.maximise(lambda p: arrays.evaluate(own, p), start, settings)
+            rows.append((key[0].as_py(), key[1].as_py(), found.status, found.iterations, found.score, found.score / len(own), arrays.nvtl(own, found.pose), found.pairs, found.oscillations, *map(float, found.pose), found.hessian.reshape(-1).tolist()))
+        return pa.Table.from_pylist([dict(zip(OUT.names, row, strict=True)) for row in rows], OUT)
 
     around = around.withColumnsRenamed({"scan_id": "of_scan", "start_id": "of_start"})
-    return points.groupBy("scan_id", "start_id").cogroup(around.groupBy("of_scan", "of_start")).applyInPandas(run, RESULT)
+    return points.groupBy("scan_id", "start_id").cogroup(around.groupBy("of_scan", "of_start")).applyInArrow(run, RESULT)
 
 
 def cascade(points: np.ndarray, grids: list[tuple[float, int, pd.DataFrame]], start, settings: Settings = Settings(), good: float | None = None) -> list[tuple[float, Outcome]]:
