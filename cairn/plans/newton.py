@@ -104,6 +104,14 @@ def solve_cholesky(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray | No
     return -np.linalg.solve(lower.T, np.linalg.solve(lower, gradient))
 
 
+def solve_stacked(hessians: np.ndarray, gradients: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """``solve_svd`` of many systems at once, (n, k, k) and (n, k): a row of NaN where there is no step."""
+    u, s, vt = np.linalg.svd(hessians)
+    inverse = np.where(s > tolerance, 1 / np.where(s > tolerance, s, 1), 0)
+    steps = -np.einsum("nji,nj,nj->ni", vt, inverse, np.einsum("nkj,nk->nj", u, gradients))
+    return np.where(s[:, :1] > tolerance, steps, np.nan)
+
+
 def ascent_step(hessian: np.ndarray, gradient: np.ndarray, ceiling: float = -1e-3, tolerance: float = 1e-10) -> np.ndarray | None:
     """The Newton step toward a maximum: eigenvalues above ``ceiling`` are lowered to it first."""
     if not (np.isfinite(hessian).all() and np.isfinite(gradient).all()):

@@ -586,6 +586,13 @@ def str5(spark, sf):
     return rounded(P.queued(queue_scans(spark, sf)), ["arrival_ms", "fired_ms"], 4)
 
 
+@query("str6_batch_latency", W.with_views("ev", f"SELECT kind AS source, seq AS scan_id, {R('t_ns / 1e10 + k - t_ns / 1e10', 4)} AS latency_ms FROM ev WHERE k IS NOT NULL"))
+def str6(spark, sf):
+    """Results, done k ms after a scan's arrival, joined to their scans."""
+    done = W.events(spark, sf).filter("k IS NOT NULL").select(F.col("kind").alias("source"), F.col("seq").alias("scan_id"), (F.col("t_ns") / 1e10 + F.col("k")).alias("done_ms"))
+    return rounded(P.process_batch(queue_scans(spark, sf), done), ["latency_ms"], 4).select("source", "scan_id", "latency_ms")
+
+
 def positions(spark, sf):
     return W.events(spark, sf).select(F.col("kind").alias("source"), "seq", F.col("value").alias("x"), (F.col("k") * 1.0).alias("y"))
 

@@ -209,3 +209,13 @@ def test_empty_scan(spark, grid):
     scores = S.scan_scores(S.point_scores(empty, grid, RES)).first()
     assert scores["nvtl"] == 0 and scores["tp_per_pair"] == 0
     assert pd.isna(scores["total"]) or scores["total"] == 0
+
+
+def test_stacked_solutions():
+    rng = np.random.default_rng(6)
+    hessians, gradients = rng.normal(size=(20, 6, 6)), rng.normal(size=(20, 6))
+    hessians[3] = 0
+    hessians[4, :, 5] = hessians[4, :, 4]
+    found = newton.solve_stacked(hessians, gradients)
+    assert np.isnan(found[3]).all()
+    assert all(np.allclose(found[k], newton.solve_svd(hessians[k], gradients[k])) for k in range(20) if k != 3)

@@ -46,3 +46,15 @@ def test_aggregates_combine_before_the_shuffle(spark, data):
 def test_numeric_queries_stay_out_of_python(spark, data):
     for name in ("joi1_radius", "ndt8_pose_scores", "ndt15_total_derivatives", "joi10_interpolated_pose", "win3_oscillation"):
         assert not re.search("Python|Pandas|Arrow", plan(spark, data, name))
+
+
+def test_limits_per_key_come_before_the_shuffle(spark, data):
+    """So that no key's rows all meet in one task."""
+    for name in ("src13_keep_last", "agg17_warm_up", "snk5_members", "str4_ring"):
+        assert "WindowGroupLimit" in plan(spark, data, name)
+
+
+def test_no_buffer_holds_a_key(spark, data):
+    """Percentiles come from ranks; no aggregate collects a key's values."""
+    for name in ("agg14_mode_stats", "agg15_perf_stats", "agg21_score_comparison", "snk4_voxel_json", "snk5_members"):
+        assert not re.search(r"percentile\(|collect_list|collect_set", plan(spark, data, name))
