@@ -152,7 +152,9 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = lambda c: f"row.`{c.replace('`', '``')}`"
     kept = C.stored(df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[C.column(c) for c in df.columns]).alias("row")))
     plan = mix(kept, id_col=own(id_col), text_col=own(text_col), source_col=own(source_col), row_col="__row")
-    met = parts(plan.rows).select("__key", "block", "__row", "__from", "__words").join(plan.slots.select("__key", "block", "epoch"), ["__key", "block"])
+    # slots and parts come out of few rows by the thousand, which Spark's estimate of their size leaves out: it would send them all through the driver
+    slots = plan.slots.select("__key", "block", "epoch").hint("merge")
+    met = parts(plan.rows).select("__key", "block", "__row", "__from", "__words").join(slots, ["__key", "block"])
     cuts = met.groupBy("__row", "epoch").agg(F.array_sort(F.collect_list(F.struct(F.col("__from").alias("f"), F.col("__words").alias("w")))).alias("__cuts"))
     cuts = cuts.groupBy("__row").agg(F.collect_list(F.struct("epoch", "__cuts")).alias("__epochs"))
     tokens = F.regexp_extract_all(F.col(own(text_col)), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))

@@ -203,6 +203,14 @@ def test_counts_of_shards(spark, data):
     assert all(abs(n * mixing.BLOCK_WORDS - targets[k]) <= 3 * mixing.BLOCK_WORDS for k, n in counts.groupby("__key")["slots"].sum().items())
 
 
+def test_the_driver_gets_no_slots(spark, data):
+    """A few hundred rows become all slots and parts: no estimate of those rows may have them broadcast."""
+    out = mixing.mixed_documents(spark.read.parquet(f"{data}/documents.parquet"))
+    assert out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__key" in plan and "BroadcastHashJoin [__key" not in plan
+
+
 def test_mixed_documents_are_what_is_taken(spark):
     rng = np.random.default_rng(4)
     rows = [(k, "\n".join(f"w{k}_{i}" for i in range(rng.integers(0, 400))), "en", "abc"[k % 3]) for k in range(30)]
