@@ -335,7 +335,7 @@ def links(fps: DataFrame, scheme: Scheme = SHORT, cut: int = 0, segments: range
     every = dealt(fps, scheme, cut, segments)
     keys, rows = ["deal"], count * 2 * len(segments if segments is not None else range(scheme.segments))
     if count > DEAL:
-        hot = C.cut(every.groupBy("deal").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("blocks")).filter("blocks > 1"))
+        hot = C.cut_narrow(every.groupBy("deal").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("blocks")).filter("blocks > 1"))
         if hot.limit(1).count():
             own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
             met = every.join(F.broadcast(hot), "deal", "left").withColumn("own", F.coalesce(own, F.lit(0)))
@@ -351,15 +351,15 @@ def candidates(fps: DataFrame, scheme: Scheme) -> DataFrame:
 
     The first two segments come first: what they join is joined for the others, so a group of near copies gives its links once and not for each segment.
     """
-    first = C.cut(components(links(fps, scheme, 0, range(2))))
+    first = C.cut_narrow(components(links(fps, scheme, 0, range(2))))
     if scheme.segments * scheme.cuts <= 2:
         return first
     at = F.coalesce("label", "node")
-    fps = C.cut(fps.join(first, "node", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", at))
-    edges = [C.cut(links(fps.drop("linked"), scheme, cut, range(0 if cut else 2, scheme.segments))) for cut in range(scheme.cuts)]
+    fps = C.cut_narrow(fps.join(first, "node", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", at))
+    edges = [C.cut_narrow(links(fps.drop("linked"), scheme, cut, range(0 if cut else 2, scheme.segments))) for cut in range(scheme.cuts)]
     more = components(reduce(DataFrame.union, edges)).select(F.col("node").alias("label"), F.col("label").alias("least"))
     found = fps.select("node", "label", "linked").join(more, "label", "left").filter(F.col("linked") | F.col("least").isNotNull())
-    return C.cut(found.select("node", F.coalesce("least", "label").alias("label")))
+    return C.cut_narrow(found.select("node", F.coalesce("least", "label").alias("label")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -369,14 +369,14 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the nodes. A node with more than ``hub`` links isn't joined by a shuffle: as there are 2 x links / hub of
     them at most, which is HUBS or fewer, they are broadcast.
     """
-    edges = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = C.cut_narrow(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state, total = None, edges.count()
 
     def met(rows: DataFrame, least: DataFrame) -> DataFrame:
         hub = max(HUBS, 2 * total // HUBS)
         if total <= hub:
             return rows.join(least, "u")
-        hubs = F.broadcast(C.cut(least.filter(F.col("n") > hub)))
+        hubs = F.broadcast(C.cut_narrow(least.filter(F.col("n") > hub)))
         return rows.join(hubs, "u").union(rows.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= hub), "u"))
 
     while True:
@@ -385,7 +385,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = met(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = met(large, down).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = C.cut(moved.filter("u <> v").distinct())
+        edges = C.cut_narrow(moved.filter("u <> v").distinct())
         total, *now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if (total, now) == state:
             break
@@ -494,25 +494,25 @@ def verified(blobs: DataFrame, distinct: DataFrame, texts: DataFrame, scheme: Sc
     others each other. A group that verified links join stays linear in its members; the more of it no such link joins, the more pairs of blocks are compared, none is left out.
     """
     nodes = distinct.select("node", "size", "first.k1", "first.k2").join(blobs, "node")
-    total = C.cut(nodes.groupBy("label").agg(blocks_for(F.sum("size")).alias("blocks")))
+    total = C.cut_narrow(nodes.groupBy("label").agg(blocks_for(F.sum("size")).alias("blocks")))
     nodes = nodes.join(total, "label").select("node", "label", "size", "blocks", "k1", "k2")
     # rows that repeat have the same keys and the same text
     own = C.stored(texts.join(nodes, ["k1", "k2"]).select("node", "label", "size", "blocks", "text").dropDuplicates(["node"]))
-    edges = C.cut(refined(own.filter("blocks = 1").select(F.col("label").alias("key"), "node", F.col("node").alias("part"), "text"), scheme))
+    edges = C.cut_narrow(refined(own.filter("blocks = 1").select(F.col("label").alias("key"), "node", F.col("node").alias("part"), "text"), scheme))
     if total.filter("blocks > 1").limit(1).count() == 0:
         return edges
     large = own.filter("blocks > 1")
     state = large.select("node", "label", "size", F.col("node").alias("part"))
-    inside = C.cut(refined(large.select(F.xxhash64("label", block_of(F.col("blocks"))).alias("key"), "node", F.col("node").alias("part"), "text"), scheme))
-    state = C.cut(with_parts(state, inside))
-    one = C.cut(state.groupBy("label", "part").agg(F.min(F.struct("node", "size")).alias("one")).select("label", "part", "one.node", "one.size"))
+    inside = C.cut_narrow(refined(large.select(F.xxhash64("label", block_of(F.col("blocks"))).alias("key"), "node", F.col("node").alias("part"), "text"), scheme))
+    state = C.cut_narrow(with_parts(state, inside))
+    one = C.cut_narrow(state.groupBy("label", "part").agg(F.min(F.struct("node", "size")).alias("one")).select("label", "part", "one.node", "one.size"))
     few = one.groupBy("label").agg(blocks_for(F.sum("size")).alias("few"))
     ones = one.join(few, "label").select("node", "part", F.xxhash64("label", block_of(F.col("few"))).alias("key"))
-    across = C.cut(refined(ones.join(large.select("node", "text"), "node"), scheme))
-    state = C.cut(with_parts(state, C.cut(across.join(state.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(state.select(F.col("node").alias("b"), F.col("part").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))))
+    across = C.cut_narrow(refined(ones.join(large.select("node", "text"), "node"), scheme))
+    state = C.cut_narrow(with_parts(state, C.cut_narrow(across.join(state.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(state.select(F.col("node").alias("b"), F.col("part").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))))
     parts = state.groupBy("label", "part").agg(F.sum("size").alias("size"))
     main = parts.groupBy("label").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    main = C.cut(main.select("label", "main", blocks_for(F.col("most")).alias("mains"), blocks_for(F.col("all") - F.col("most")).alias("others")))
+    main = C.cut_narrow(main.select("label", "main", blocks_for(F.col("most")).alias("mains"), blocks_for(F.col("all") - F.col("most")).alias("others")))
     rows = state.join(main, "label").withColumn("other", F.col("part") != F.col("main"))
     rows = rows.withColumn("at", F.when(F.col("other"), block_of(F.col("others"))).otherwise(block_of(F.col("mains"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -520,7 +520,7 @@ def verified(blobs: DataFrame, distinct: DataFrame, texts: DataFrame, scheme: Sc
     with_others = F.transform(upto("others"), lambda j: F.xxhash64("label", F.lit(1), F.least(j, F.col("at")), F.greatest(j, F.col("at"))))
     of_main = F.transform(upto("others"), lambda j: F.xxhash64("label", F.lit(0), F.col("at"), j))
     rows = rows.select("node", "part", F.explode(F.when(F.col("other"), F.concat(with_main, with_others)).otherwise(of_main)).alias("key"))
-    last = C.cut(refined(rows.join(large.select("node", "text"), "node"), scheme))
+    last = C.cut_narrow(refined(rows.join(large.select("node", "text"), "node"), scheme))
     return edges.union(inside).union(across).union(last)
 
 
@@ -528,11 +528,11 @@ def grouped(rows: DataFrame, scheme: Scheme, texts: DataFrame | None = None) ->
     """(node, least): of each distinct fingerprint of ``rows`` the least row of its component, as (none, id, k1, k2)."""
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
     own = [*scheme.columns, *["size"] * (scheme.similarity is not None)]
-    distinct = C.cut(rows.groupBy("node", *own).agg(F.min(row).alias("first")))
+    distinct = C.cut_narrow(rows.groupBy("node", *own).agg(F.min(row).alias("first")))
     labels = candidates(distinct.select("node", *own), scheme)
     if scheme.similarity is not None:
         labels = components(verified(labels, distinct, texts, scheme))
-    of = C.cut(distinct.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
+    of = C.cut_narrow(distinct.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
     least = of.groupBy("label").agg(F.min("first").alias("least"))
     return of.join(least, "label").select("node", "least")
 

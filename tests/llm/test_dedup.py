@@ -10,7 +10,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from cairn.llm import common as C
 from cairn.llm import exact, repeats, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, k1 string, node string"
@@ -446,3 +448,22 @@ def test_wide_recall_by_similarity(size):
         apart = bits[0] != bits[1]
         met = np.any([(apart[:, scheme.order(cut).reshape(scheme.segments, -1)].sum(axis=2) <= 1).any(axis=1) for cut in range(scheme.cuts)], axis=0)
         assert (met & (apart.sum(axis=1) <= scheme.distance)).mean() >= 0.99
+
+
+def test_narrow_tables_are_kept_in_few_files(spark):
+    """However many tasks made them; a group's links and rounds are a few rows each."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+        found = C.cut_narrow(simhash.components(edges))
+        assert found.rdd.getNumPartitions() == 1 and {tuple(r) for r in found.collect()} == {(k, 0) for k in range(31)}
+        many = C.cut_narrow(spark.range(0, 3 * C.FILE_ROWS, 1, 40))
+        assert many.rdd.getNumPartitions() == 3 and many.agg(F.sum("id")).first()[0] == sum(range(3 * C.FILE_ROWS))
+        assert C.cut_narrow(spark.range(0)).collect() == []
+        assert simhash.components(edges).rdd.getNumPartitions() <= 41
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held  # nothing stays cached
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
