@@ -1,7 +1,12 @@
 """Every query of the library against its SQL."""
 
+import shutil
+from pathlib import Path
+
+import duckdb
 import pytest
 from compare import difference
+from pyspark.sql import functions as F
 
 from cairn import registry
 
@@ -21,3 +26,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_clock_remap_with_points_of_one_time(spark, data, tmp_path):
+    """Every point of a time counts, as in the SQL; copies here have other stamps."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    copies = events.withColumn("event_id", events.event_id + 10**9).withColumn("props", F.expr("concat('{\"k\": ', event_id % 7, '}')"))
+    events.unionByName(copies).write.parquet(f"{tmp_path}/events.parquet")
+    duckdb.sql(f"COPY (SELECT * FROM '{tmp_path}/events.parquet/*.parquet') TO '{tmp_path}/one.parquet'")
+    shutil.rmtree(f"{tmp_path}/events.parquet")
+    Path(f"{tmp_path}/one.parquet").rename(f"{tmp_path}/events.parquet")
+    assert not difference(spark, "joi16_clock_remap", QUERIES["joi16_clock_remap"], SQL["joi16_clock_remap"], str(tmp_path))
