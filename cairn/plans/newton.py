@@ -320,6 +320,10 @@ def monomials(points: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(points), 1)), points, points[:, UPPER[0]] * points[:, UPPER[1]]], axis=1)
 
 
+#: Points that are evaluated at a time: what their pairs need stays in a core's cache.
+POINTS = 2048
+
+
 class Arrays:
     """A Gaussian grid for lookups inside a task: packed cell keys, sorted."""
 
@@ -368,8 +372,11 @@ class Arrays:
         return w, pull, np.exp(-self.d2 / 2 * (gap * pull).sum(axis=0))
 
     def evaluate(self, points: np.ndarray, pose: np.ndarray) -> Evaluation:
-        """Score and derivatives. A pair's part in them is a 3-vector and a symmetric 3 x 3 matrix; summed with the monomials of its point (two
+        """Score and derivatives, sums over blocks of points. A pair's part in them is a 3-vector and a symmetric 3 x 3 matrix; summed with the monomials of its point (two
         matrix products over the pairs) they give every entry, as the Jacobian is linear in the point."""
+        if len(points) > POINTS:
+            parts = [self.evaluate(points[k : k + POINTS], pose) for k in range(0, len(points), POINTS)]
+            return Evaluation(sum(p.score for p in parts), sum(p.gradient for p in parts), sum(p.hessian for p in parts), sum(p.pairs for p in parts))
         exact, *_ = G.rotation_terms(*pose[3:], tiny=0.0)
         _, first, second = G.rotation_terms(*pose[3:])
         moved = points @ exact.T + pose[:3]

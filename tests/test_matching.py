@@ -219,3 +219,31 @@ def test_stacked_solutions():
     found = newton.solve_stacked(hessians, gradients)
     assert np.isnan(found[3]).all()
     assert all(np.allclose(found[k], newton.solve_svd(hessians[k], gradients[k])) for k in range(20) if k != 3)
+
+
+def test_drawn_hypotheses_are_shared_among_tasks(spark, monkeypatch):
+    """A search of one scan aligns its drawn starts in several tasks, and finds what one task finds; blocks of points give the same sums."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 3, (3000, 3))
+    cloud = spark.createDataFrame([("scan", *map(float, p)) for p in rows], "scan_id string, x double, y double, z double")
+    grid = V.grid(cloud.select("x", "y", "z"), 2.0)
+    priors = spark.createDataFrame([("scan", [0.1] * 6, np.diag([0.04, 0.04, 0.01, 0, 0, 0.01]).reshape(-1).tolist())], "scan_id string, mean array<double>, covariance array<double>")
+    asked = []
+    found = search.estimate_many(cloud, priors, grid, startup=6, total=9)
+    assert "share" in found._jdf.queryExecution().analyzed().toString()
+    found = found.collect()[0]
+    arrays = newton.Arrays(grid.toPandas(), 2.0)
+    settings = newton.Settings()
+
+    def aligned(starts):
+        asked.extend(starts)
+        done = [newton.maximise(lambda p: arrays.evaluate(rows, p), s, settings) for s in starts]
+        return [(f.pose, arrays.nvtl(rows, f.pose), f.score / len(rows), f.iterations) for f in done]
+
+    plain = search.estimate(aligned, np.full(6, 0.1), np.diag([0.04, 0.04, 0.01, 0, 0, 0.01]), startup=6, total=9)
+    assert len(asked) == 9 and found.particles == 9 and np.allclose(found.trajectory, plain.trajectory) and np.allclose([found[c] for c in ("tx", "ty", "yaw")], plain.pose[[0, 1, 5]], atol=1e-6)
+    pose = np.array([0.1, -0.2, 0.05, 0.02, 0.01, 0.1])
+    blocks = arrays.evaluate(rows, pose)
+    monkeypatch.setattr(newton, "POINTS", len(rows))
+    whole = arrays.evaluate(rows, pose)
+    assert blocks.pairs == whole.pairs and np.allclose(blocks.hessian, whole.hessian) and np.isclose(blocks.score, whole.score)
